@@ -80,8 +80,27 @@ def examples(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> DataF
     return texts.mapInArrow(_counted, "doc_id long, toxic long, terms array<long>, counts array<long>").dropDuplicates(["doc_id"])
 
 
+def without_copies(rows: list, bands: int = 16, width: int = 8) -> list:
+    """The examples but near copies of earlier ones (by min-hash bands of their terms): a copied text must not vouch for its terms again."""
+    salts = np.random.default_rng(11).integers(1, 2**63, (bands * width, 1), dtype=np.uint64)
+    seen, out = set(), []
+    for r in rows:
+        terms = np.array(r["terms"], np.int64).view(np.uint64)
+        if not len(terms):
+            continue
+        least = np.full(bands * width, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(terms), 4096):
+            least = np.minimum(least, tb.mix(terms[at : at + 4096][None, :] ^ salts).min(axis=1))
+        keys = [(b, part.tobytes()) for b, part in enumerate(least.reshape(bands, width))]
+        if not any(k in seen for k in keys):
+            out.append(r)
+        seen.update(keys)
+    return out
+
+
 def informative(rows: list, least: int = LEAST, chi2: float = CHI2, limit: int = TERMS) -> np.ndarray:
     """Sorted hashes of the terms whose presence goes with the label; by falling chi-square where there are too many."""
+    rows = without_copies(sorted(rows, key=lambda r: r["doc_id"]))
     if not rows:
         return np.zeros(0, np.uint64)
     sets = [np.array(r["terms"], np.int64).view(np.uint64) for r in rows]
@@ -92,9 +111,9 @@ def informative(rows: list, least: int = LEAST, chi2: float = CHI2, limit: int =
     n, ones = len(rows), sum(r["toxic"] for r in rows)
     expected = df * ones / n
     with np.errstate(divide="ignore", invalid="ignore"):
-        x = (a - expected) ** 2 * n * n / (df * (n - df) * ones * (n - ones) / n)
-    x = np.nan_to_num(x / n, nan=0.0, posinf=0.0)
-    good = np.flatnonzero((df >= least) & (x * 1.0 >= chi2))
+        x = (a - expected) ** 2 * float(n) ** 3 / (df * (n - df) * float(ones * (n - ones)))
+    x = np.nan_to_num(x, nan=0.0, posinf=0.0)
+    good = np.flatnonzero((df >= least) & (x >= chi2))
     good = good[np.lexsort((terms[good], -x[good]))][:limit]
     return np.sort(terms[good])
 
