@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm import bpe, line_dedup, media, mixing, ngram_join, quality, token_counts, toxicity
+from platen.llm import bpe, line_dedup, media, mixing, ngram_join, quality, suffix_dedup, token_counts, toxicity
 from platen.llm.shared import shared_path
 
 TOKEN_LIMIT = 2048
@@ -46,6 +46,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     deduped = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return deduped.select("doc_id", "lines_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
@@ -78,7 +89,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_token_counts, op5_mixing, op6_byte_bpe, op8_line_dedup, op9_toxicity, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_token_counts, op5_mixing, op6_byte_bpe, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_media_columns)}
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.sql() + "\nSELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, sampled FROM mixed",
 }
