@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm import bpe, line_dedup, media, mixing, ngram_join, quality, suffix_dedup, token_counts, toxicity
+from platen.llm import bpe, line_dedup, media, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts, toxicity
 from platen.llm.shared import shared_path
 
 TOKEN_LIMIT = 2048
@@ -20,6 +20,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.sha2("finding", 256).alias("finding_sha256"), "probability", "secret")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("quality").alias("posterior"))
@@ -89,7 +94,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_token_counts, op5_mixing, op6_byte_bpe, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_token_counts, op5_mixing, op6_byte_bpe, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_media_columns)}
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.sql() + "\nSELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, sampled FROM mixed",
 }
