@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platen.llm.shared import small_batches
+
 #: Entries of a worker's memos before they start anew (some tens of megabytes).
 MEMO = 400_000
 _EMPTY = -1
@@ -193,6 +195,7 @@ def decode_ids(ids: np.ndarray, path: str) -> np.ndarray:
 def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """documents -> (doc_id, ids array<int>); narrow, in bounded slices."""
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path, pattern)
         for batch in batches:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platen.llm.shared import small_batches
+
 RATE, BLOCK = 8000, 64
 #: Samples of a frame, samples from frame to frame, frames of a tile, bins of a tile.
 FRAME, HOP, TILE_T, TILE_F = 256, 128, 8, 32
@@ -145,6 +147,7 @@ def fingerprint_wav(stored: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, n_bytes, media, payload_*, tail_crc32, fp_time, fp_hash); narrow, one pass, no shuffle."""
 
+    small_batches(docs.sparkSession)
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for stored in _store(batches):
             for printed in _print(iter([stored])):

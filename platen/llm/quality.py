@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platen.llm import textbytes as tb
-from platen.llm.shared import cut
+from platen.llm.shared import cut, small_batches
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_lines", "n_stops", "n_pipes")
 SCHEMA = "doc_id long, " + ", ".join(f"{f} long" for f in FEATURES)
@@ -186,6 +186,7 @@ def judge_quality(docs: DataFrame, rules: dict[str, tuple[str, str]] | None = No
     The features (a few dozen bytes a document) are cut off by a checkpoint in the
     shared folder, so the texts are read once for both the EM and the result.
     """
+    small_batches(docs.sparkSession)
     rules = RULES if rules is None else rules
     found = cut(features(docs))
     voted = found.select("*", *(vote(*r).alias(f"vote_{n}") for n, r in rules.items()), base_failed().alias("base_failed"))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platen.llm.shared import small_batches
+
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: Chunks that a worker remembers before it starts anew.
 MEMO = 400_000
@@ -164,6 +166,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str) -> DataFrame:
     join carries digests and numbers and is a plain equi-join that Spark splits
     where a digest is hot.
     """
+    small_batches(docs.sparkSession)
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
     texts = docs.select("text").mapInArrow(_distinct_texts(tokenizer_path), "content_digest binary, text string")
     stored = read_cache(spark, cache).where(F.col("tokenizer_digest") == version)
