@@ -21,7 +21,7 @@ from platen.operators.pixels import as_array, resize_array
 LINES = 64
 BANDS = "job_id long, band long, y0 long, width long, h int, data binary"
 TILES = "frame_id long, cell_w long, cell_h long, mode int, bg long, tile binary"
-SHEET = ("page_w", "page_h", "border_px", "bleed_px", "crop_mark_px", "crop_thickness", "crop_offset_px", "bg_sig")
+SHEET = ("page_w", "page_h", "gap", "border_px", "bleed_px", "crop_mark_px", "crop_thickness", "crop_offset_px", "bg_sig")
 
 
 def tile_array(image: np.ndarray, cell_w: int, cell_h: int, mode: int, bg: int) -> np.ndarray:
@@ -57,63 +57,79 @@ def make_tiles(frames: DataFrame, tiles: DataFrame) -> DataFrame:
     return joined.select("frame_id", "cell_w", "cell_h", "mode", "bg", "width", "height", "stride", "data").mapInArrow(run, TILES)
 
 
-def _paint(band: np.ndarray, y0: int, x: int, y: int, w: int, h: int) -> None:
-    """A black rectangle of the sheet, as far as it lies in the band."""
-    a, z = max(y - y0, 0), min(y + h - y0, band.shape[0])
-    if a < z:
-        band[a:z, max(x, 0) : max(x + w, 0)] = 0
+def _covered(starts: list[int], size: int, ranges: list[tuple[int, int]], origin: int = 0) -> np.ndarray:
+    """Which of ``size`` lines from ``origin`` on lie in one of the ranges, taken from each start."""
+    out = np.zeros(size, bool)
+    for start in starts:
+        for a, z in ranges:
+            out[max(start + a - origin, 0) : max(start + z - origin, 0)] = True
+    return out
 
 
-def _marks(x: int, y: int, w: int, h: int, off: int, length: int, thick: int) -> list[tuple[int, int, int, int]]:
-    thick = thick or 1
-    out = []
-    for up, edge in ((True, y - off), (False, y + h + off)):
-        across, down = (edge - thick, edge - length) if up else (edge, edge)
-        out += [(x - off - length, across, length, thick), (x - off - thick, down, thick, length), (x + w + off, across, length, thick), (x + w + off, down, thick, length)]
+def _sources(starts: list[int], cell: int, bleed: int, size: int, origin: int = 0) -> np.ndarray:
+    """For each line the cell's line that it shows, -1 for none; later cells win."""
+    out = np.full(size, -1)
+    for start in starts:
+        a, z = max(start - bleed - origin, 0), min(start + cell + bleed - origin, size)
+        if a < z:
+            out[a:z] = np.clip(np.arange(a + origin, z + origin) - start, 0, cell - 1)
     return out
 
 
+def _wide_bleed(band: np.ndarray, row: dict, cell: np.ndarray) -> None:
+    """Cells and their bleed where that is wider than the gap and so runs over other cells, in cell order."""
+    w, h, bleed, y0 = row["cell_w"], row["cell_h"], row["bleed_px"], row["y0"]
+    lines, width = band.shape[:2]
+    cells = [(x, y) for y in row["ys"] for x in row["xs"]]
+    for x, y in cells:
+        a, z = max(y - y0, 0), min(y + h - y0, lines)
+        if a < z:
+            band[a:z, x : x + w] = cell[a + y0 - y : z + y0 - y]
+    grown = np.pad(cell, ((bleed, bleed), (bleed, bleed), (0, 0)), mode="edge")
+    ring = np.ones(grown.shape[:2], bool)
+    ring[bleed : bleed + h, bleed : bleed + w] = False
+    for x, y in cells:
+        a, z = max(y - bleed - y0, 0), min(y + h + bleed - y0, lines)
+        left, right = max(x - bleed, 0), min(x + w + bleed, width)
+        if a < z and left < right:
+            part = (slice(a + y0 - y + bleed, z + y0 - y + bleed), slice(left - x + bleed, right - x + bleed))
+            band[a:z, left:right] = np.where(ring[part][..., None], grown[part], band[a:z, left:right])
+
+
 def compose_band(row: dict, tile: np.ndarray | None) -> np.ndarray:
-    """One band from its sheet's values and the cells that reach into it, in cell order."""
-    y0, lines, width = row["y0"], row["h"], row["page_w"]
-    bg = row["bg_sig"]
+    """One band from its sheet's values and the rows of cells that reach into it.
+
+    Cells stand in full rows and columns, so where a band's pixel comes from is
+    found for lines and columns apart, and marks are products of lines and columns.
+    """
+    y0, lines, width, bg = row["y0"], row["h"], row["page_w"], row["bg_sig"]
     band = np.empty((lines, width, 3), np.uint8)
     band[:] = (bg >> 16 & 255, bg >> 8 & 255, bg & 255)
-    cells = [(c["x"], c["y"]) for c in row["cells"]]
     w, h, border, bleed = row["cell_w"], row["cell_h"], row["border_px"], row["bleed_px"]
-    # A cell with its border, of which the band shows lines: bleed repeats its edges.
-    cell = None
     if tile is not None:
         cell = tile.copy()
-        b = border
-        if b > 0:
-            cell[:b] = cell[max(h - b, 0) :] = 0
-            cell[:, :b] = cell[:, max(w - b, 0) :] = 0
-    for x, y in cells:
-        a, z = max(y - y0, 0), min(y + h - y0, lines)
-        if cell is not None and a < z:
-            band[a:z, x : x + w] = cell[a + y0 - y : z + y0 - y]
-    if cell is not None and bleed > 0:
-        grown = np.pad(cell, ((bleed, bleed), (bleed, bleed), (0, 0)), mode="edge")
-        ring = np.ones(grown.shape[:2], bool)
-        ring[bleed : bleed + h, bleed : bleed + w] = False
-        for x, y in cells:
-            a, z = max(y - bleed - y0, 0), min(y + h + bleed - y0, lines)
-            left, right = max(x - bleed, 0), min(x + w + bleed, width)
-            if a < z and left < right:
-                part = (slice(a + y0 - y + bleed, z + y0 - y + bleed), slice(left - x + bleed, right - x + bleed))
-                band[a:z, left:right] = np.where(ring[part][..., None], grown[part], band[a:z, left:right])
+        if border > 0:
+            cell[:border] = cell[max(h - border, 0) :] = 0
+            cell[:, :border] = cell[:, max(w - border, 0) :] = 0
+        if bleed > row["gap"]:
+            _wide_bleed(band, row, cell)
+        else:
+            down, across = _sources(row["ys"], h, bleed, lines, y0), _sources(row["xs"], w, bleed, width)
+            own = np.ix_(down >= 0, across >= 0)
+            band[own] = cell[np.ix_(down[down >= 0], across[across >= 0])]
     if row["crop_mark_px"] > 0:
-        for x, y in cells:
-            for mx, my, mw, mh in _marks(x, y, w, h, row["crop_offset_px"], row["crop_mark_px"], row["crop_thickness"]):
-                _paint(band, y0, mx, my, mw, mh)
+        off, length, thick = row["crop_offset_px"], row["crop_mark_px"], row["crop_thickness"] or 1
+        long = lambda size: [(-off - length, -off), (size + off, size + off + length)]
+        short = lambda size: [(-off - thick, -off), (size + off, size + off + thick)]
+        band[np.ix_(_covered(row["ys"], lines, short(h), y0), _covered(row["xs"], width, long(w)))] = 0
+        band[np.ix_(_covered(row["ys"], lines, long(h), y0), _covered(row["xs"], width, short(w)))] = 0
     return band
 
 
 def band_plan(sheets: DataFrame, lines: int = LINES) -> DataFrame:
-    """(job_id, band, y0, h, cells, sheet columns): every band of every sheet with the cells that reach into it.
+    """(job_id, band, y0, h, xs, ys, sheet columns): every band of every sheet with the columns and the rows of cells that reach into it.
 
-    How far a cell reaches: its bleed and its crop marks. The cells are generated by
+    How far a cell reaches: its bleed and its crop marks. The places are generated by
     the band's own row, so planning stays narrow.
     """
     s = sheets.withColumn("band", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(page_h - 1) div {lines}"))))
@@ -126,8 +142,7 @@ def band_plan(sheets: DataFrame, lines: int = LINES) -> DataFrame:
     sequence = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
     rows = F.filter(F.transform(sequence(F.col("_rows")), lambda r: F.col("start_y") + r * step_y), lambda y: (y - reach < F.col("y0") + F.col("h")) & (y + F.col("cell_h") + reach > F.col("y0")))
     xs = F.transform(sequence(F.col("_cols")), lambda c: F.col("start_x") + c * step_x)
-    cells = F.flatten(F.transform(rows, lambda y: F.transform(xs, lambda x: F.struct(x.alias("x"), y.alias("y")))))
-    return s.select("job_id", "frame_id", "cell_w", "cell_h", "mode", "band", "y0", "h", *SHEET, cells.alias("cells"))
+    return s.select("job_id", "frame_id", "cell_w", "cell_h", "mode", "band", "y0", "h", *SHEET, xs.alias("xs"), rows.alias("ys"))
 
 
 def compose_bands(sheets: DataFrame, tiles: DataFrame, lines: int = LINES) -> DataFrame:
@@ -135,7 +150,7 @@ def compose_bands(sheets: DataFrame, tiles: DataFrame, lines: int = LINES) -> Da
     bg = F.when(F.col("mode") == 0, F.col("bg_sig")).otherwise(F.lit(-1).cast("long"))
     plan = band_plan(sheets, lines).withColumn("bg", bg)
     joined = plan.join(tiles, ["frame_id", "cell_w", "cell_h", "mode", "bg"], "left")
-    names = ["job_id", "band", "y0", "h", "cell_w", "cell_h", "cells", "tile", *SHEET]
+    names = ["job_id", "band", "y0", "h", "cell_w", "cell_h", "xs", "ys", "tile", *SHEET]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
