@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platen.llm import textbytes as tb
-from platen.llm.line_dedup import packed
-from platen.llm.shared import stored
+from platen.llm.packing import packed
+from platen.llm.shared import small_batches, stored
 
-LENGTH, SEED = 50, 16
+LENGTH, SEED = 50, 24
 #: Strings of a fragment at most; bytes of text in a vectorised step; fragments collapsed at a time before the shuffle.
 RUN, STEP, COLLAPSE = 64, 1 << 20, 1 << 20
 #: Bytes of fragments in one index; a name's fragments stay together.
@@ -112,16 +112,18 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, .
         yield portion(rows)
 
 
-def _is_first(name: np.ndarray, content: np.ndarray) -> np.ndarray:
+def _least(name: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each fragment of a sorted portion, the smallest doc_id that has it."""
     first = np.ones(len(name), bool)
     first[1:] = (name[1:] != name[:-1]) | (content[1:] != content[:-1])
-    return first
+    heads = np.flatnonzero(first)
+    return np.repeat(doc[heads], np.diff(np.append(heads, len(doc))))
 
 
 def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, content, doc_id, at): the first of equal fragments of a portion; at = start * 128 + strings."""
+    """(name, content, doc_id, at): of equal fragments of a portion, those of the smallest doc_id; at = start * 128 + strings."""
     for name, content, doc, start, count in _anchored(batches):
-        own = _is_first(name, content)
+        own = doc == _least(name, content, doc)
         yield pa.RecordBatch.from_arrays(
             [pa.array(name[own].view(np.int64)), pa.array(content[own].view(np.int64)), pa.array(doc[own]), pa.array((start * 128 + count)[own])], names=["name", "content", "doc_id", "at"]
         )
@@ -146,9 +148,7 @@ def _merged(doc: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray,
 def _following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, a, z): the bytes of fragments that a smaller document of the portion holds too."""
     for name, content, doc, start, count in _anchored(batches):
-        heads = np.flatnonzero(_is_first(name, content))
-        least = np.repeat(doc[heads], np.diff(np.append(heads, len(doc))))
-        gone = doc > least
+        gone = doc > _least(name, content, doc)
         d, a, z = _merged(doc[gone], start[gone], (start + count + LENGTH - 1)[gone])
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(z)], names=["doc_id", "a", "z"])
 
@@ -286,8 +286,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     by_name, by_content = Window.partitionBy("name"), Window.partitionBy("name", "content")
     # A portion sends one row of equal fragments, so a passage of any number of documents is a few rows of a name.
     live = leading.select("*", F.min("doc_id").over(by_name).alias("x"), F.max("doc_id").over(by_name).alias("y")).where("x != y")
-    live = live.select("name", "content", "doc_id", "at", F.min(F.struct("doc_id", "at")).over(by_content).alias("first"), F.min("content").over(by_name).alias("u"), F.max("content").over(by_name).alias("v"))
-    live = stored(live.select("name", "doc_id", "at", F.col("first.doc_id").alias("least"), ((F.struct("doc_id", "at") == F.col("first")) & (F.col("u") != F.col("v"))).alias("mixed")), "live")
+    live = live.select("name", "doc_id", "at", F.min("doc_id").over(by_content).alias("least"), (F.min("content").over(by_name) != F.max("content").over(by_name)).alias("several"))
+    live = stored(live.select("name", "doc_id", "at", "least", (F.col("several") & (F.col("doc_id") == F.col("least"))).alias("mixed")), "live")
 
     later = live.where("doc_id > least").select("doc_id", F.expr("at div 128").alias("a"), F.expr(f"at div 128 + at % 128 + {LENGTH - 1}").alias("z"))
     wanted = live.where("mixed").groupBy("doc_id").agg(F.collect_list(F.struct("name", "at")).alias("want"))  # fragments of one document
@@ -299,6 +299,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, n_bytes, spans array<struct<a, z>>, kept binary): the maximal removed runs and the bytes that stay."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     gone = repeated_ranges(docs).groupBy("doc_id").agg(F.collect_list(F.struct("a", "z")).alias("gone"))  # ranges of one document
     joined = docs.select("doc_id", packed("text").alias("text")).join(gone, "doc_id", "left").select("doc_id", "text", "gone")
