@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -33,7 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platen.llm.shared import stored
+from platen.llm import textbytes as tb
+from platen.llm.packing import packed
+from platen.llm.shared import small_batches, stored
+
+_U = np.uint64
 
 MIN_CHARS = 20
 SEGMENTS = 3
@@ -48,47 +52,66 @@ def line_hash(data: bytes) -> tuple[int, int]:
     return _signed(both >> 64), _signed(both & (1 << 64) - 1)
 
 
-def _key(*parts: bytes | int) -> int:
-    h = xxhash.xxh64()
-    for p in parts:
-        data = p if isinstance(p, bytes) else b"%d;" % p
-        h.update(b"%d:" % len(data))
-        h.update(data)
-    return _signed(h.intdigest())
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _sums(codes: np.ndarray) -> np.ndarray:
+    """S with S[e] - S[s] = P**s * hash(codes[s:e])."""
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(tb.mix(codes.astype(np.uint64) + _U(1)) * tb.powers(len(codes))[0], out=total[1:])
+    return total
 
 
-def segment_keys(line: str) -> list[tuple[int, int, int, int]]:
-    """(key, shift, from, to): what is left of the line without its characters from..to.
+def segment_keys(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, from, to), each lines x 2 * SEGMENTS: the line without its characters from..to, as a key.
 
-    Shift 0 is the line among lines of its length and as the longer of two; shift 1
-    as the shorter one, whose segment lacks a character.
+    The first SEGMENTS: the line among lines of its length and as the longer of two.
+    The others: as the shorter of two, where the segment lacks a character.
     """
-    out, data = [], line
+    total = _sums(codes)
+    inverse = tb.powers(len(total))[1]
+    size = ends - starts
+    keys, low, high = [], [], []
     for shift in (0, 1):
-        size = len(line) + shift
-        cuts = [size * k // SEGMENTS for k in range(SEGMENTS + 1)]
+        cuts = [(size + shift) * k // SEGMENTS for k in range(SEGMENTS + 1)]
         for k in range(SEGMENTS):
-            a, z = cuts[k], cuts[k + 1] - shift
-            out.append((_key(size, k, data[:a].encode(), data[z:].encode()), shift, a, z))
-    return out
-
-
-def variants(line: str, live: set[int]) -> list[tuple[int, int]]:
-    """(variant key, role). Role 0: by substitution at one place; 1: without one character; 2: as it is, the shorter line of a pair."""
-    out = []
-    for key, shift, a, z in segment_keys(line):
-        if key not in live:
+            a, z = starts + cuts[k], starts + cuts[k + 1] - shift
+            head = (total[a] - total[starts]) * inverse[starts]
+            tail = (total[ends] - total[z]) * inverse[z]
+            place = (size + shift).astype(np.uint64) * _U(2 * SEGMENTS) + _U(k)
+            keys.append(tb.mix(tb.mix(head + tb.mix(place)) + tail))
+            low.append(a)
+            high.append(z)
+    return np.stack(keys, axis=1), np.stack(low, axis=1), np.stack(high, axis=1)
+
+
+def variants(line: str, live: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(variant keys, roles). Role 0: by substitution at one place; 1: without one character; 2: as it is, the shorter line of a pair."""
+    codes = _codes(line)
+    keys, low, high = (x[0] for x in segment_keys(codes, np.array([0]), np.array([len(codes)])))
+    out, roles = [], []
+    for k in range(2 * SEGMENTS):
+        key = keys[k : k + 1]
+        if int(key.view(np.int64)[0]) not in live:
             continue
-        middle = line[a:z]
-        if shift:
-            out.append((_key(1, key, middle.encode()), 2))
+        middle = codes[low[k] : high[k]]
+        total = _sums(middle)
+        if k >= SEGMENTS:
+            out.append(tb.mix(total[-1:] ^ tb.mix(key + _U(1))))
+            roles.append(np.full(1, 2, np.int8))
             continue
-        for p in range(len(middle)):
-            rest = (middle[:p] + middle[p + 1 :]).encode()
-            out.append((_key(0, key, p, rest), 0))
-            if not p or middle[p] != middle[p - 1]:  # a run gives one text
-                out.append((_key(1, key, rest), 1))
-    return out
+        rest = total[:-1] + (total[-1] - total[1:]) * tb.powers(2)[1][1]
+        at = np.arange(len(middle), dtype=np.uint64)
+        out.append(tb.mix(rest ^ tb.mix(key + _U(2) + at)))
+        roles.append(np.zeros(len(rest), np.int8))
+        own = np.ones(len(middle), bool)
+        own[1:] = middle[1:] != middle[:-1]  # a run gives one text
+        out.append(tb.mix(rest[own] ^ tb.mix(key + _U(1))))
+        roles.append(np.ones(int(own.sum()), np.int8))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int8)
+    return np.concatenate(out).view(np.int64), np.concatenate(roles)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,19 +134,21 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, h): the segment keys of each line, once for a line in a partition."""
-    seen = set()
+    seen: set[int] = set()
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            keys, lines = [], []
-            for text in batch.column("text").slice(at, 512).to_pylist():
+        for part, _, _ in tb.slices(batch, step=1 << 19):
+            lines, hashes = [], []
+            for text in part.column("text").to_pylist():
                 for line in (text or "").split("\n"):
                     if len(line) >= MIN_CHARS:
                         h = line_hash(line.encode())[0]
                         if h not in seen:
                             seen.add(h)
-                            keys.extend(x[0] for x in segment_keys(line))
-                            lines.extend([h] * (2 * SEGMENTS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.int64())], names=["key", "h"])
+                            lines.append(line)
+                            hashes.append(h)
+            ends = np.cumsum(np.array([len(x) for x in lines], np.int64))
+            keys = segment_keys(_codes("".join(lines)), ends - np.diff(ends, prepend=0), ends)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.array(hashes, np.int64), 2 * SEGMENTS))], names=["key", "h"])
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,42 +178,36 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _varied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in range(batch.num_rows):
-            each = variants(batch.column("line")[row].as_py(), set(batch.column("live")[row].as_py()))
-            n = len(each)
+        for at in range(0, batch.num_rows, 64):
+            rows = batch.slice(at, 64).to_pylist()
+            each = [variants(r["line"], set(r["live"])) for r in rows]
+            sizes = [len(v) for v, _ in each]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([v for v, _ in each], pa.int64()),
-                    pa.array([r for _, r in each], pa.int8()),
-                    pa.array([batch.column("doc_id")[row].as_py()] * n, pa.int64()),
-                    pa.array([batch.column("line_no")[row].as_py()] * n, pa.int32()),
+                    pa.array(np.concatenate([v for v, _ in each])),
+                    pa.array(np.concatenate([r for _, r in each])),
+                    pa.array(np.repeat(np.array([r["doc_id"] for r in rows], np.int64), sizes)),
+                    pa.array(np.repeat(np.array([r["line_no"] for r in rows], np.int32), sizes)),
                 ],
                 names=["variant", "role", "doc_id", "line_no"],
             )
 
 
-@F.pandas_udf(T.BinaryType())
-def packed(texts: pd.Series) -> pd.Series:
-    """Texts as they travel through a shuffle."""
-    code = zstandard.ZstdCompressor(level=1)
-    return texts.map(lambda t: None if t is None else code.compress(t.encode()))
-
-
-@F.pandas_udf(T.StringType())
-def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def without_lines(texts: pa.Array, gone: pa.Array) -> pa.Array:
     """Unpacked texts without the lines that ``gone`` names by number and hash."""
 
-    def one(data, lines):
-        if data is None:
+    def one(data: pa.Scalar, lines: pa.Scalar) -> str | None:
+        if not data.is_valid:
             return None
-        text = zstandard.decompress(data).decode()
-        if lines is None or not len(lines):
+        text = zstandard.decompress(data.as_py()).decode()
+        if not lines.is_valid:
             return text
-        out = {(x["line_no"], x["h"], x["g"]) for x in lines}
-        numbers = {x["line_no"] for x in lines}
+        out = {(x["line_no"], x["h"], x["g"]) for x in lines.as_py()}
+        numbers = {x[0] for x in out}
         return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in numbers or (k, *line_hash(line.encode())) not in out)
 
-    return pd.Series([one(d, g) for d, g in zip(texts, gone, strict=True)], dtype=object)
+    return pa.array([one(d, g) for d, g in zip(texts, gone, strict=True)], pa.string())
 
 
 def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -204,7 +223,7 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     texts = docs.where("text is not null").select("doc_id", packed("text").alias("text")).join(wanted, "doc_id")
     lines = stored(texts.mapInArrow(_picked, "h long, g long, doc_id long, line_no int, line string, live array<long>").dropDuplicates(["h", "g"]), "lines")
 
-    varied = lines.select("line", "live", "doc_id", "line_no").mapInArrow(_varied, "variant long, role byte, doc_id long, line_no int")
+    varied = stored(lines.select("line", "live", "doc_id", "line_no").mapInArrow(_varied, "variant long, role byte, doc_id long, line_no int"), "varied")
     at = F.struct("doc_id", "line_no")
     # Of a variant: the earliest line by substitution, the earliest longer line and the shorter line.
     meets = varied.groupBy("variant").agg(
@@ -234,6 +253,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """documents -> the same columns and ``lines_removed`` (long), with the repeated lines taken out of ``text``."""
+    small_batches(docs.sparkSession)
     gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h", "g")).alias("_gone")).withColumnRenamed("doc_id", "_doc")
     kept = [F.col(c) for c in docs.columns]
     joined = docs.select(*(packed("text").alias("text") if c == "text" else docs[c] for c in docs.columns)).join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
