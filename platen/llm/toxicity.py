@@ -33,11 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platen.llm import textbytes as tb
-from platen.llm.shared import stored
+from platen.llm.shared import small_batches, stored
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 8192, 1024, 24, 64
-#: A term is in the space if this chi-square of term and label is reached in so many examples.
-CHI2, LEAST = 25.0, 5
+EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 8192, 1024, 24, 512
+#: A term is in the space if its chi-square with the label reaches both values (the second times the examples), in so many examples.
+CHI2, PHI2, LEAST = 25.0, 0.01, 5
 THRESHOLD = 0.7
 _LETTER = np.ones(256, bool)
 _LETTER[:128] = False
@@ -113,7 +113,7 @@ def informative(rows: list, least: int = LEAST, chi2: float = CHI2, limit: int =
     with np.errstate(divide="ignore", invalid="ignore"):
         x = (a - expected) ** 2 * float(n) ** 3 / (df * (n - df) * float(ones * (n - ones)))
     x = np.nan_to_num(x, nan=0.0, posinf=0.0)
-    good = np.flatnonzero((df >= least) & (x >= chi2))
+    good = np.flatnonzero((df >= least) & (x >= max(chi2, PHI2 * n)))
     good = good[np.lexsort((terms[good], -x[good]))][:limit]
     return np.sort(terms[good])
 
@@ -149,7 +149,7 @@ class Index:
 
     terms: np.ndarray  # sorted hashes
     idf: np.ndarray
-    ids: np.ndarray  # doc_id of each example, ascending
+    ids: np.ndarray  # doc_id of each example; examples of one leading term stand together
     toxic: np.ndarray
     starts: np.ndarray  # of each (term, block)'s postings, row by row
     slots: np.ndarray  # example of each posting
@@ -191,7 +191,7 @@ class Index:
             own = np.flatnonzero(score > 0)
             own = own[own + block * BLOCK != leave]
             found, cosines = np.concatenate([found, own + block * BLOCK]), np.concatenate([cosines, score[own]])
-            best = np.lexsort((found, -np.round(cosines, 9)))[:k]
+            best = np.lexsort((self.ids[found], -np.round(cosines, 9)))[:k]
             found, cosines = found[best], cosines[best]
             worst = cosines[-1] if len(found) >= k else 0.0
         return found, cosines
@@ -205,11 +205,14 @@ class Index:
 
 
 def build_index(rows: list, terms: np.ndarray, df: np.ndarray, n: int, share: float, k: int = NEIGHBOURS) -> Index:
-    rows = sorted(rows, key=lambda r: r["doc_id"])
-    toxic = np.array([r["toxic"] for r in rows], np.int64)
     blocks = -(-len(rows) // BLOCK)
-    index = Index(terms, np.log((1 + n) / (1 + df)) + 1, np.array([r["doc_id"] for r in rows], np.int64), toxic, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(terms), blocks)))
-    vectors = [index.vector(np.array(r["terms"], np.int64).view(np.uint64), np.array(r["counts"], np.int64)) for r in rows]
+    index = Index(terms, np.log((1 + n) / (1 + df)) + 1, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(terms), blocks)))
+    made = [(index.vector(np.array(r["terms"], np.int64).view(np.uint64), np.array(r["counts"], np.int64)), r) for r in rows]
+    # By leading term, so that a term's large weights fall into few blocks and the others' bounds are low.
+    made.sort(key=lambda x: (int(x[0][0][x[0][1].argmax()]) if len(x[0][0]) else -1, x[1]["doc_id"]))
+    vectors, rows = [v for v, _ in made], [r for _, r in made]
+    index.ids, toxic = np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.int64)
+    index.toxic = toxic
     term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
     slot = np.repeat(np.arange(len(rows)), [len(v[0]) for v in vectors])
     weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
@@ -251,6 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> Index:
 
 def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
     """documents -> (doc_id, score, n_neighbours, evidence array<struct<doc_id, cosine, toxic>>); narrow, one pass."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int64())])
 
