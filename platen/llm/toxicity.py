@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from platen.llm import textbytes as tb
 from platen.llm.shared import small_batches, stored
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 8192, 1024, 24, 512
+EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 4096, 1024, 24, 512
 #: A term is in the space if its chi-square with the label reaches both values (the second times the examples), in so many examples.
 CHI2, PHI2, LEAST = 25.0, 0.01, 5
 THRESHOLD = 0.7
@@ -243,9 +243,19 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float
     return float(max(beta[0], 0.0)), float(beta[1])
 
 
+def _gathered(chosen: DataFrame) -> list[dict]:
+    """The examples (``limit`` at most) as arrays, without an object for each term."""
+    table = chosen.toArrow().combine_chunks()
+    column = {c: table.column(c).combine_chunks() for c in table.column_names}
+    cuts = np.concatenate([[0], np.cumsum(column["terms"].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    flat = {c: column[c].flatten().to_numpy(zero_copy_only=False) for c in ("terms", "counts")}
+    ids, toxic = column["doc_id"].to_pylist(), column["toxic"].to_pylist()
+    return [{"doc_id": ids[k], "toxic": toxic[k], **{c: v[cuts[k] : cuts[k + 1]] for c, v in flat.items()}} for k in range(len(ids))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> Index:
     """Trains on the bounded sample; the frequencies and the labels' shares are counted over all rows."""
-    rows = examples(docs, labels, limit).collect()
+    rows = _gathered(examples(docs, labels, limit))
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).agg(F.avg("toxic").alias("share")).first()["share"] or 0.0
     terms = informative(rows)
     df, n = document_frequencies(docs, terms)

@@ -394,7 +394,7 @@ def test_toxicity(spark, empty, sf_dir):
         assert index.nearest(slots, weights, toxicity.NEIGHBOURS)[0].tolist() == [i for _, _, i in best]
     assert toxicity.score(empty, index).count() == 0
     nothing = toxicity.fit(docs, known.where("toxic = 0"))
-    assert {x.score for x in toxicity.score(docs, nothing).collect()} == {pytest.approx(0.0, abs=1e-6)}
+    assert all(x.score < 1e-6 for x in toxicity.score(docs, nothing).collect())
 
 
 # 10
