@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 
 from platen.llm import textbytes as tb
 from platen.llm.components import components
-from platen.llm.shared import stored
+from platen.llm.packing import packed, unpacked
+from platen.llm.shared import small_batches, stored
 
 
 def need_of(size: Column, percent: int) -> Column:
@@ -116,7 +117,8 @@ def _prefixes(n: int, percent: int):
 def _whole_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, offsets in tb.slices(batch):
+            for part in unpacked(batch):
+                buf, offsets = tb.buffer_of(tb.text_array(part.column("text")))
                 sets = shingle_sets(buf, offsets, n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "tokens"])
@@ -134,7 +136,7 @@ def candidates_for_join(docs: DataFrame, keys: DataFrame, n: int, percent: int)
     longer = F.least(size, prefix + F.floor(size / 20))
     nodes = keys.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
     able = hits.join(keys, "doc_id").where(F.col("hits") >= longer - prefix + 1).join(nodes, "digest").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(able, "doc_id").select("node", "text")
+    texts = docs.where("text is not null").select("doc_id", packed("text").alias("text")).join(able, "doc_id").select("node", "text")
     sets = texts.mapInArrow(_whole_sets(n), "node long, tokens array<long>")
     return sets.select("node", F.size("tokens").cast("long").alias("n"), "tokens").where("n > 0").dropDuplicates(["node"])
 
@@ -145,10 +147,10 @@ def ordered(sets: DataFrame, percent: int) -> DataFrame:
     The orders: rarest first; rarest first by powers of two, then by a second
     hash; a third hash alone. Dead shingles stand before all others in each.
     """
-    single = sets.select("node", "n", F.explode("tokens").alias("token"))
+    single = sets.select("node", F.explode("tokens").alias("token"))
     df = single.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    entry = F.struct("df", "token")
-    nodes = single.join(df, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    entry = F.struct(F.col("df").cast("int").alias("df"), "token")
+    nodes = single.join(df, "token").groupBy("node").agg(F.array_sort(F.collect_list(entry)).alias("e")).join(sets.select("node", "n"), "node")
     left = F.size("e").cast("long") - need_of(F.col("n"), percent) + 1
 
     def head(key) -> Column:
@@ -208,6 +210,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     component_id is the smallest doc_id reachable by links of J >= percent/100
     between sets of n-word shingles.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     keys = stored(docs.mapInArrow(_keys(n), "doc_id long, n long, digest binary"), "keys")
     sets = stored(candidates_for_join(docs, keys, n, percent), "sets")
