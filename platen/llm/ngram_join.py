@@ -192,14 +192,16 @@ def link_nodes(nodes: DataFrame, percent: int) -> DataFrame:
 
     labels = components(found)
     placed = nodes.join(labels, nodes["node"] == labels["vertex"], "left").select("node", "n", "live", "first", F.coalesce("component", "node").alias("component"))
-    placed = placed.select("node", "n", "live", "component", F.explode("first").alias("token"))
+    placed = placed.select("node", "n", "live", "component", "first", F.explode("first").alias("token"))
     # Only shingles whose nodes are still apart, and only pairs that lie apart and can share enough.
     apart = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
     open_posts = stored(placed.join(apart, "token"), "open")
-    a = open_posts.select("token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "live", "component")))
-    b = open_posts.select("token", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "live", "component")))
+    a = open_posts.select("token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "live", "component", "first")))
+    b = open_posts.select("token", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "live", "component", "first")))
     able = overlap_of(F.col("a_n"), F.col("b_n"), percent) <= F.least("a_live", "b_live")
-    rest = a.join(b, "token").where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & able)
+    # A pair is made at the first shingle of its prefixes that both have, so once.
+    once = F.get(F.array_intersect("a_first", "b_first"), F.lit(0)) == F.col("token")
+    rest = a.join(b, "token").where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & able & once)
     more = verify(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), nodes, percent)
     return found.unionByName(more)
 
