@@ -1,10 +1,17 @@
 """Mixing sources to target weights by iterative proportional fitting; DataFrame functions only.
 
 The token counts of the cells (source, language, topic) are raked to target
-shares of each of the three marginals in turn. A document's probability is that
-of its cell: the raked weight over the cell's tokens, scaled so that the expected
-sample has the wanted share of all tokens, with no probability above 1. The draw
-is a hash of doc_id and seed, so it repeats in any partitioning.
+shares of each of the three marginals in turn, until they agree within a tolerance.
+A document's rate is that of its cell: the raked weight over the cell's tokens,
+scaled so that the expected sample has the wanted share of all tokens. A document
+of a scarce cell has a rate above 1 and is drawn more than once: as often as the
+rate's whole part says, and once more with its fraction as the probability. So the
+expected sample meets both the targets and the share. The draw is a hash of doc_id
+and seed, so it repeats in any partitioning.
+
+``mix_once`` draws no document twice: probabilities end at 1, what full cells can't
+give is spread over the others, and the targets are missed where they ask for more
+than a cell has. It is the form that ``sql`` states.
 
 The texts are read once. The table of cells (one row for each combination that
 occurs) is all that the rounds work on; documents meet it in one equi-join, where
@@ -33,6 +40,8 @@ TEMPER = 0.7
 SHARE, SEED = 0.9, 17
 #: Rounds of raking that make up one job.
 JOB = 2
+#: ``mix`` rakes until totals are in proportion to their targets within this, or for so many rounds (targets that contradict each other).
+TOLERANCE, MOST_ROUNDS = 1e-4, 64
 
 
 def topic_of(text: Column) -> Column:
@@ -56,9 +65,9 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def attributes(docs: DataFrame) -> DataFrame:
-    """documents -> (doc_id, source, lang, topic, n_tokens)."""
-    return docs.select("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")), topic_of(F.col("text")).alias("topic"), token_weight(F.col("text")).alias("n_tokens"))
+def attributes(docs: DataFrame, *others: str) -> DataFrame:
+    """documents -> (doc_id, source, lang, topic, n_tokens) and the other columns named."""
+    return docs.select("doc_id", *others, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")), topic_of(F.col("text")).alias("topic"), token_weight(F.col("text")).alias("n_tokens"))
 
 
 def target_shares(cells: DataFrame, marginal: str, targets: dict[str, float] | None) -> DataFrame:
@@ -74,8 +83,15 @@ def target_shares(cells: DataFrame, marginal: str, targets: dict[str, float] | N
     return values.select(marginal, raw.alias(f"{marginal}_share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(source, lang, topic, tokens) -> the same and weight, whose sums over each marginal are in proportion to its targets."""
+def spread(raked: DataFrame) -> float:
+    """By how much the ratio of a value's weight to its target differs within a marginal, at most."""
+    ratio = lambda m: F.sum("weight").over(Window.partitionBy(m)) / F.nullif(F.col(f"{m}_share"), F.lit(0.0))
+    row = raked.select(*(ratio(m).alias(m) for m in MARGINALS)).agg(*(F.max(m) / F.nullif(F.min(m), F.lit(0.0)) - 1 for m in MARGINALS)).first()
+    return max((x for x in row if x is not None), default=0.0)
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
+    """(source, lang, topic, tokens) -> the same and weight, whose sums over each marginal are in proportion to its targets; ends early within the tolerance."""
     targets = targets or {}
     for marginal in MARGINALS:
         cells = cells.join(target_shares(cells, marginal, targets.get(marginal)), marginal)
@@ -86,6 +102,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
             cells = cells.withColumn("weight", F.coalesce(F.col("weight") * F.col(f"{marginal}_share") / F.nullif(total, F.lit(0.0)), F.lit(0.0)))
         if done % JOB == 0 or done == rounds:
             cells = stored(cells, "raked")
+            if tolerance is not None and spread(cells) <= tolerance:
+                break
     return cells
 
 
@@ -105,8 +123,29 @@ def scale_of(raked: DataFrame, share: float, rounds: int = CAP_ROUNDS) -> float:
     return scale
 
 
+def rates_of(attributed: DataFrame, targets: dict[str, dict[str, float]] | None, share: float) -> DataFrame:
+    """(source, lang, topic, rate): the expected draws of a document of the cell."""
+    cells = attributed.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("tokens"))
+    raked = rake(cells, targets, MOST_ROUNDS, TOLERANCE)
+    row = raked.agg(F.sum("tokens").alias("all"), F.sum("weight").alias("weight")).first()
+    scale = share * row["all"] / row["weight"] if row["weight"] else 0.0
+    return raked.select(*MARGINALS, F.when(F.col("tokens") > 0, F.col("weight") * F.lit(scale) / F.col("tokens")).otherwise(1.0).alias("rate"))
+
+
+def draws(doc_id: Column, rate: Column, seed: int) -> Column:
+    """How often a document is drawn."""
+    return F.floor(rate).cast("int") + (uniform(doc_id, seed) < rate - F.floor(rate)).cast("int")
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """documents -> (doc_id, source, lang, topic, n_tokens, probability, sampled), one row for each input row."""
+    """documents -> (doc_id, source, lang, topic, n_tokens, rate, probability, copies, sampled), one row for each input row."""
+    found = stored(attributes(docs), "attributes")
+    rated = found.join(rates_of(found, targets, share), list(MARGINALS)).withColumn("copies", draws(F.col("doc_id"), F.col("rate"), seed))
+    return rated.select("doc_id", *MARGINALS, "n_tokens", "rate", F.least(F.lit(1.0), "rate").alias("probability"), "copies", (F.col("copies") > 0).alias("sampled"))
+
+
+def mix_once(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, seed: int = SEED) -> DataFrame:
+    """documents -> (doc_id, source, lang, topic, n_tokens, probability, sampled), one row for each input row, none drawn twice."""
     found = stored(attributes(docs), "attributes")
     cells = found.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("tokens"))
     raked = rake(cells, targets)
@@ -117,9 +156,11 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, sha
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """The sampled documents, with all their columns."""
-    left_out = mix(docs, targets, share, seed).where("not sampled").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_out")).distinct()
-    return docs.join(left_out, F.coalesce(docs["doc_id"].cast("string"), F.lit("")) == F.col("_out"), "left_anti")
+    """The drawn documents, with all their columns; a row for each draw."""
+    rates = rates_of(stored(attributes(docs).drop("doc_id"), "attributes"), targets, share)
+    own = attributes(docs.select("doc_id", "source", "lang", "text", F.struct(*(docs[c] for c in docs.columns)).alias("_row")), "_row")
+    drawn = own.join(rates, list(MARGINALS)).select("_row", F.explode(F.array_repeat(F.lit(0), draws(F.col("doc_id"), F.col("rate"), seed))))
+    return drawn.select("_row.*")
 
 
 def sql(documents: str = "documents", share: float = SHARE, seed: int = SEED) -> str:

@@ -36,10 +36,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    """Drawn once at most, as its SQL twin states; the targets are met by ``op5_mixing_copies``."""
+    mixed = mixing.mix_once(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op5_mixing_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("rate", 6).alias("rate"), "copies")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     decoded = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
@@ -94,7 +100,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_token_counts, op5_mixing, op6_byte_bpe, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_token_counts, op5_mixing, op5_mixing_copies, op6_byte_bpe, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_media_columns)}
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.sql() + "\nSELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, sampled FROM mixed",
 }

@@ -245,6 +245,16 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_the_sample_meets_its_targets(spark):
+    texts = [f"write to x{k}@example.org now please" if k % 25 == 0 else f"plain words of text {k} here" for k in range(3000)]
+    docs = docs_of(spark, texts)
+    drawn = [r.text for r in mixing.sample(docs).collect()]
+    before, after = (sum("@" in t for t in x) / len(x) for x in (texts, drawn))
+    tempered = lambda x: x**0.7 / (x**0.7 + (1 - x) ** 0.7)
+    assert abs(after - tempered(before)) < 0.01 and abs(len(drawn) / len(texts) - 0.9) < 0.03
+    assert len(drawn) == sum(r.copies for r in mixing.mix(docs).collect())
+
+
 # 6
 
 
