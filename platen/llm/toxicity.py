@@ -2,9 +2,10 @@
 
 Training takes at most ``EXAMPLES`` labelled rows, half of each label, those with
 the smallest hashes of their ids (all of them where there are fewer). The space
-is the terms whose share of examples differs between the labels (chi-square);
-their document frequencies are counted over all documents. Each document is
-compared with all examples through a block-max inverted index: a block's bound
+is all terms of the examples; their document frequencies are counted over all
+documents, and a term's idf is raised by how far its share of examples differs
+between the labels (1 + the root of its chi-square), so no term is without weight
+and the many that don't go with a label do not drown the others. Each document is compared with all examples through a block-max inverted index: a block's bound
 is the sum over the query's terms of weight times the term's largest weight in
 the block, and blocks are read from the highest bound on until none can reach
 the k-th neighbour, so the neighbours are exact.
@@ -12,9 +13,9 @@ the k-th neighbour, so the neighbours are exact.
 The neighbours' votes are weighted by their cosine; leave-one-out votes of the
 examples, reweighted to the labels' true shares, fit the calibration.
 
-The model that is broadcast is bounded by EXAMPLES and TERMS, not by the corpus.
+The model that is broadcast is bounded by the terms of EXAMPLES texts, not by the corpus.
 
-Defined results: null and empty texts, and texts without a term of the space,
+Defined results: null and empty texts, and texts without a term of any example,
 have no neighbours and get the calibrated score of an even absence of votes;
 ties between neighbours go to the smaller doc_id; rows are scored one by one, so
 repeated rows score alike; with no labelled rows of one label all scores are the
@@ -29,15 +30,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platen.llm import textbytes as tb
 from platen.llm.shared import small_batches, stored
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 4096, 1024, 24, 512
-#: A term is in the space if its chi-square with the label reaches both values (the second times the examples), in so many examples.
-CHI2, PHI2, LEAST = 25.0, 0.01, 5
+EXAMPLES, NEIGHBOURS, BLOCK = 4096, 24, 512
 THRESHOLD = 0.7
 _LETTER = np.ones(256, bool)
 _LETTER[:128] = False
@@ -98,28 +98,26 @@ def without_copies(rows: list, bands: int = 16, width: int = 8) -> list:
     return out
 
 
-def informative(rows: list, least: int = LEAST, chi2: float = CHI2, limit: int = TERMS) -> np.ndarray:
-    """Sorted hashes of the terms whose presence goes with the label; by falling chi-square where there are too many."""
+def space(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all terms of the examples, and 1 + the root of the chi-square of each term's presence with the label."""
+    terms = np.unique(np.concatenate([np.asarray(r["terms"], np.int64) for r in rows] or [np.zeros(0, np.int64)]).view(np.uint64))
     rows = without_copies(sorted(rows, key=lambda r: r["doc_id"]))
     if not rows:
-        return np.zeros(0, np.uint64)
+        return terms, np.ones(len(terms))
     sets = [np.array(r["terms"], np.int64).view(np.uint64) for r in rows]
     label = np.repeat([r["toxic"] for r in rows], [len(s) for s in sets])
-    terms, place = np.unique(np.concatenate(sets), return_inverse=True)
+    place = np.searchsorted(terms, np.concatenate(sets))
     a = np.bincount(place, weights=label, minlength=len(terms))
     df = np.bincount(place, minlength=len(terms))
     n, ones = len(rows), sum(r["toxic"] for r in rows)
     expected = df * ones / n
     with np.errstate(divide="ignore", invalid="ignore"):
         x = (a - expected) ** 2 * float(n) ** 3 / (df * (n - df) * float(ones * (n - ones)))
-    x = np.nan_to_num(x, nan=0.0, posinf=0.0)
-    good = np.flatnonzero((df >= least) & (x >= max(chi2, PHI2 * n)))
-    good = good[np.lexsort((terms[good], -x[good]))][:limit]
-    return np.sort(terms[good])
+    return terms, 1 + np.sqrt(np.nan_to_num(x, nan=0.0, posinf=0.0))
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
-    """How many of all documents have each term, and how many documents there are. Only len(terms) + 1 numbers leave a partition."""
+    """How many of all documents have each term, and how many documents there are. At most len(terms) + 1 numbers leave a partition."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +132,12 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
                     hit = np.flatnonzero(known[at] == hashes)
                     doc = np.searchsorted(bounds, hit, side="right")
                     total += np.bincount(np.unique(doc * len(known) + at[hit]) % len(known), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["slot", "n"])
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], names=["slot", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(terms) + 1, np.int64)
-    for r in rows:
-        out[r["slot"]] = r["n"]
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
     return out[:-1], int(out[-1])
 
 
@@ -148,7 +146,7 @@ class Index:
     """A block-max inverted index of unit vectors over the space."""
 
     terms: np.ndarray  # sorted hashes
-    idf: np.ndarray
+    idf: np.ndarray  # times the term's strength
     ids: np.ndarray  # doc_id of each example; examples of one leading term stand together
     toxic: np.ndarray
     starts: np.ndarray  # of each (term, block)'s postings, row by row
@@ -166,11 +164,12 @@ class Index:
         """Terms of the space and their unit TF-IDF weights, (1 + log tf) * idf."""
         if not len(self.terms) or not len(hashes):
             return np.zeros(0, np.int64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        hit = self.terms[at] == hashes
-        tf = np.bincount(at[hit], weights=None if counts is None else counts[hit], minlength=len(self.terms))
-        slots = np.flatnonzero(tf)
-        weights = (1 + np.log(tf[slots])) * self.idf[slots]
+        own, place = np.unique(hashes, return_inverse=True)
+        tf = np.bincount(place, weights=counts)
+        at = np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)
+        hit = self.terms[at] == own
+        slots = at[hit]
+        weights = (1 + np.log(tf[hit])) * self.idf[slots]
         norm = math.sqrt(float(weights @ weights))
         return (slots, weights / norm) if norm else (slots[:0], weights[:0])
 
@@ -184,10 +183,10 @@ class Index:
         for block in order[bound[order] > 0]:
             if len(found) >= k and bound[block] < worst - 1e-9:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(slots, weights, strict=True):
-                a, z = self.starts[t * self.blocks + block : t * self.blocks + block + 2]
-                score[self.slots[a:z] - block * BLOCK] += w * self.weights[a:z]
+            cell = slots * self.blocks + block
+            size = self.starts[cell + 1] - self.starts[cell]
+            at = np.repeat(self.starts[cell] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            score = np.bincount(self.slots[at] - block * BLOCK, weights=np.repeat(weights, size) * self.weights[at], minlength=BLOCK)
             own = np.flatnonzero(score > 0)
             own = own[own + block * BLOCK != leave]
             found, cosines = np.concatenate([found, own + block * BLOCK]), np.concatenate([cosines, score[own]])
@@ -204,9 +203,9 @@ class Index:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * vote + self.offset))))
 
 
-def build_index(rows: list, terms: np.ndarray, df: np.ndarray, n: int, share: float, k: int = NEIGHBOURS) -> Index:
+def build_index(rows: list, terms: np.ndarray, strength: np.ndarray, df: np.ndarray, n: int, share: float, k: int = NEIGHBOURS) -> Index:
     blocks = -(-len(rows) // BLOCK)
-    index = Index(terms, np.log((1 + n) / (1 + df)) + 1, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(terms), blocks)))
+    index = Index(terms, (np.log((1 + n) / (1 + df)) + 1) * strength, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(terms), blocks)))
     made = [(index.vector(np.array(r["terms"], np.int64).view(np.uint64), np.array(r["counts"], np.int64)), r) for r in rows]
     # By leading term, so that a term's large weights fall into few blocks and the others' bounds are low.
     made.sort(key=lambda x: (int(x[0][0][x[0][1].argmax()]) if len(x[0][0]) else -1, x[1]["doc_id"]))
@@ -257,9 +256,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> Index:
     """Trains on the bounded sample; the frequencies and the labels' shares are counted over all rows."""
     rows = _gathered(examples(docs, labels, limit))
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).agg(F.avg("toxic").alias("share")).first()["share"] or 0.0
-    terms = informative(rows)
+    terms, strength = space(rows)
     df, n = document_frequencies(docs, terms)
-    return build_index(rows, terms, df, n, float(known))
+    return build_index(rows, terms, strength, df, n, float(known))
 
 
 def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
@@ -276,7 +275,7 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
                 scores, counts, evidence = [], [], []
                 for a, z in zip(bounds[:-1], bounds[1:], strict=True):
                     slots, weights = own.vector(hashes[a:z])
-                    key = (slots.tobytes(), weights.tobytes())
+                    key = xxhash.xxh3_128_digest(slots.tobytes() + weights.tobytes())
                     if key not in memo:
                         if len(memo) > 20_000:
                             memo.clear()

@@ -407,6 +407,19 @@ def test_toxicity(spark, empty, sf_dir):
     assert all(x.score < 1e-6 for x in toxicity.score(docs, nothing).collect())
 
 
+def test_rare_terms_of_a_toxic_text_find_it(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(9))
+    texts = [" ".join(word() for _ in range(30)) for _ in range(200)]  # no word twice
+    copied = next(k for k in range(1, 200, 2) if zlib.crc32(str(k).encode()) % 3 != 1)
+    texts.append(" ".join(texts[copied].split(" ")[:28]))
+    docs = docs_of(spark, texts)
+    index = toxicity.fit(docs, spark.createDataFrame([(k, 1, k % 2) for k in range(200)], "doc_id long, quality int, toxic int"))
+    found = {x.doc_id: x for x in toxicity.score(docs, index).collect()}[200]
+    assert found.evidence[0].doc_id == copied and found.evidence[0].toxic == 1 and found.evidence[0].cosine > 0.9
+    assert len(index.terms) == len({w for k in index.ids.tolist() for w in texts[k].split(" ")})
+
+
 # 10
 
 
