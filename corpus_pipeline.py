@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document of which nothing is left goes too."""
-    return _like(line_dedup.dedup_lines(docs).where("text is null or lines_removed = 0 or trim(text) != ''"), docs)
+    return _like(line_dedup.dedup_lines(docs, short=True).where("text is null or lines_removed = 0 or trim(text) != ''"), docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, within edit distance 1.
 
 A line (``MIN_CHARS`` code points or more) goes if an earlier line of the corpus
-is within the bound; earlier means a smaller (doc_id, line number), and lines are
+is within the bound, and with ``short`` a shorter line with a word in it goes if an
+earlier line equals it; earlier means a smaller (doc_id, line number), and lines are
 judged on the input. What is left keeps its order.
 
 1. Equal lines: the smallest position of each (128-bit) line hash.
@@ -15,7 +16,8 @@ judged on the input. What is left keeps its order.
    each one's partner, so a key makes one pair for a line and never all pairs.
 4. Pairs are verified by edit distance over the lines' texts.
 
-Defined results: null texts stay null; short and empty lines stay; rows with a
+Defined results: null texts stay null; empty lines and lines without a word stay,
+short lines stay without ``short``; rows with a
 null doc_id are left alone; rows that repeat a doc_id are judged line by line at
 their own positions, so equal rows stay equal; an empty table gives an empty
 result; all columns of the input are returned, whatever their names.
@@ -24,6 +26,7 @@ result; all columns of the input are returned, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +117,11 @@ def variants(line: str, live: set[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out).view(np.int64), np.concatenate(roles)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _has_word(line: str) -> bool:
+    return any(map(str.isalnum, line))
+
+
+def _lines(batches: Iterator[pa.RecordBatch], short: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             h, g, ids, numbers = [], [], [], []
@@ -123,7 +130,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if doc is None or not text:
                     continue
                 for k, line in enumerate(text.split("\n")):
-                    if len(line) >= MIN_CHARS:
+                    if len(line) >= MIN_CHARS or (short and _has_word(line)):
                         x, y = line_hash(line.encode())
                         h.append(x)
                         g.append(y)
@@ -240,10 +247,10 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     return verified.select("h", "g").distinct()
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """documents -> (doc_id, line_no, h, g) of the lines that go."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    lines = docs.mapInArrow(_lines, "h long, g long, doc_id long, line_no int")
+    lines = docs.mapInArrow(partial(_lines, short=short), "h long, g long, doc_id long, line_no int")
     first = stored(lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line_no")).alias("at")), "first")
     near = stored(near_lines(docs, first).withColumn("near", F.lit(True)), "near")
     marked = first.join(near, ["h", "g"], "left")
@@ -251,10 +258,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "line_no", "h", "g")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """documents -> the same columns and ``lines_removed`` (long), with the repeated lines taken out of ``text``."""
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """documents -> the same columns and ``lines_removed`` (long), with the repeated lines taken out of ``text``; with ``short`` exact repeats of short lines too."""
     small_batches(docs.sparkSession)
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h", "g")).alias("_gone")).withColumnRenamed("doc_id", "_doc")
+    gone = repeated_lines(docs, short).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h", "g")).alias("_gone")).withColumnRenamed("doc_id", "_doc")
     kept = [F.col(c) for c in docs.columns]
     joined = docs.select(*(packed("text").alias("text") if c == "text" else docs[c] for c in docs.columns)).join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
     fresh = [without_lines("text", "_gone").alias("text") if c == "text" else k for c, k in zip(docs.columns, kept, strict=True)]

@@ -69,7 +69,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deduped = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    deduped = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), short=True)
     return deduped.select("doc_id", "lines_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -368,6 +368,13 @@ def test_lines_of_a_null_id_and_repeated_rows(spark):
     assert sorted(((r.doc_id or -1), r.text) for r in rows) == [(-1, line), (3, line), (3, line), (9, "")]
 
 
+def test_short_lines_that_repeat_go(spark):
+    texts = ["Page 1\nfirst\n---", "Page 1\n---\n\nother", "été\nPage 2", "été", None]
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, texts), short=True).collect()}
+    assert [rows[k].text for k in range(5)] == [texts[0], "---\n\nother", texts[2], "", None]
+    assert [rows[k].lines_removed for k in range(5)] == [0, 1, 0, 1, 0]
+
+
 # 9
 
 
