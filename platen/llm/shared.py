@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -17,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="platen-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -49,3 +52,25 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, or a longer one that no column of the frames has (in any case of letters)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def versioned(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> the same and version (int): 0, but 0, 1, ... for the different texts of a repeated doc_id.
+
+    Only ids and 64-bit text hashes are shuffled. Where no doc_id has several texts, as usual, the texts are not joined with anything.
+    """
+    key = F.xxhash64("text")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x != y").select("doc_id")
+    texts = docs.select("doc_id", key.alias("key")).join(several, "doc_id", "left_semi").distinct()
+    ranked = stored(texts.withColumn("version", F.row_number().over(Window.partitionBy("doc_id").orderBy("key")) - 1), "versions")
+    if ranked.isEmpty():
+        return docs.withColumn("version", F.lit(0))
+    return docs.withColumn("key", key).join(ranked, ["doc_id", "key"], "left").select("doc_id", "text", F.coalesce("version", F.lit(0)).alias("version"))
