@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.shared import stored
+from platen.llm.shared import forget, stored
 
 
 def _to_smallest(links: DataFrame, larger_only: bool) -> DataFrame:
@@ -39,6 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         # Stars are reached when no vertex is both a leaf and a centre and every leaf has one centre.
         deep = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
         twice = 0 if deep else now.groupBy("a").count().where("count > 1").limit(1).count()
+        forget(links)
         links = now
         if not deep and not twice:
             break

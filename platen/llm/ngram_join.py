@@ -8,7 +8,7 @@ verified.
 
 Steps, none of which brings a group together or makes all pairs of one:
 
-1. Equal sets are one node, named by its smallest doc_id.
+1. Equal sets are one node, named by 64 bits of the set's digest.
 2. Filter: under a random order the prefix is lengthened by 5 % of the set, so a
    linked document has that many more shared shingles in it. Shingles of one
    document only are dead; a document with too few live ones is linked with
@@ -18,12 +18,15 @@ Steps, none of which brings a group together or makes all pairs of one:
 4. Each node is verified against the one pivot (the node with the fewest dead
    shingles) that it meets most often in prefixes. Then all pairs that share a
    prefix shingle and lie in different components are verified, so no link
-   between components is lost; links inside one change nothing.
+   between components is lost; links inside one change nothing. A shingle with
+   many such nodes is split by the shingles of their prefixes under the second
+   order, and again under the third: a pair must share one under each.
 
 Defined results: null, empty and white-space texts have no shingles and are a
 component of their own (for a null doc_id, null); with fewer than n words the
 whole sequence is the one shingle; there is one result row for each input row;
-equal doc_ids are one document only if their texts have equal sets; an empty
+rows that repeat a doc_id with different sets are different nodes; a null doc_id
+has the component of an equal set, if any, and makes no links; an empty
 table gives an empty result; only ``doc_id`` and ``text`` are read.
 """
 
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,10 @@ from pyspark.sql import functions as F
 from platen.llm import textbytes as tb
 from platen.llm.components import components
 from platen.llm.packing import packed, unpacked
-from platen.llm.shared import small_batches, stored
+from platen.llm.shared import forget, small_batches, stored, unused
+
+#: Nodes that meet in a shingle, lie apart and are paired at once; beyond, the shingle is split by the next order.
+MANY = 128
 
 
 def need_of(size: Column, percent: int) -> Column:
@@ -77,8 +84,9 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarra
     return out
 
 
-def _digest(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+def _node(tokens: np.ndarray) -> int:
+    """The name of a set."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _keys(n: int):
@@ -87,58 +95,58 @@ def _keys(n: int):
             for part, buf, offsets in tb.slices(batch):
                 sets = shingle_sets(buf, offsets, n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], names=["doc_id", "n", "digest"]
+                    [part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64())], names=["doc_id", "key", "n", "node"]
                 )
 
     return run
 
 
 def _prefixes(n: int, percent: int):
-    """(token, doc_id): the lengthened prefix under the order of hashes; one text of each set in a partition."""
+    """(token, node): the lengthened prefix under the order of hashes; each set once in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for batch in batches:
+            seen = set()
             for part, buf, offsets in tb.slices(batch):
                 tokens, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for doc, s in zip(part.column("doc_id").to_pylist(), shingle_sets(buf, offsets, n), strict=True):
-                    key = _digest(s)
-                    if doc is None or not len(s) or key in seen:
+                    node = _node(s)
+                    if doc is None or not len(s) or node in seen:
                         continue
-                    seen.add(key)
+                    seen.add(node)
                     head = s[: _lengthened(len(s), percent)[0]]
                     tokens.append(head)
-                    ids.append(np.full(len(head), doc, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids))], names=["token", "doc_id"])
+                    ids.append(np.full(len(head), node, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids))], names=["token", "node"])
 
     return run
 
 
-def _whole_sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in unpacked(batch):
-                buf, offsets = tb.buffer_of(tb.text_array(part.column("text")))
-                sets = shingle_sets(buf, offsets, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "tokens"])
-
-    return run
+def _whole_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(node, tokens) of the texts that are their node's (rows may repeat a doc_id with another text)."""
+    for batch in batches:
+        for part in unpacked(batch):
+            buf, offsets = tb.buffer_of(tb.text_array(part.column("text")))
+            found = [(node, s) for node, s in zip(part.column("node").to_pylist(), shingle_sets(buf, offsets, n), strict=True) if _node(s) == node]
+            tokens = np.concatenate([np.zeros(0, np.uint64), *(s for _, s in found)]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for _, s in found])]).astype(np.int32)), pa.array(tokens))
+            yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in found], pa.int64()), lists], names=["node", "tokens"])
 
 
 def candidates_for_join(docs: DataFrame, keys: DataFrame, n: int, percent: int) -> DataFrame:
     """Step 2: (node, n, tokens) of the nodes that may have a link."""
-    prefixes = docs.select("doc_id", "text").mapInArrow(_prefixes(n, percent), "token long, doc_id long")
-    live = prefixes.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    hits = prefixes.join(live.hint("shuffle_hash"), "token").groupBy("doc_id").agg(F.count("*").alias("hits"))
+    prefixes = docs.select("doc_id", "text").mapInArrow(_prefixes(n, percent), "token long, node long")
+    live = prefixes.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("token")
+    # A node that several batches hold counts its hits several times, which only weakens the filter.
+    hits = prefixes.join(live.hint("shuffle_hash"), "token").groupBy("node").agg(F.count("*").alias("hits"))
     size = F.col("n")
     prefix = size - need_of(size, percent) + 1
     longer = F.least(size, prefix + F.floor(size / 20))
-    nodes = keys.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    able = hits.join(keys, "doc_id").where(F.col("hits") >= longer - prefix + 1).join(nodes, "digest").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = keys.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    able = hits.join(nodes, "node").where(F.col("hits") >= longer - prefix + 1).select("node", "doc_id")
     texts = docs.where("text is not null").select("doc_id", packed("text").alias("text")).join(able, "doc_id").select("node", "text")
-    sets = texts.mapInArrow(_whole_sets(n), "node long, tokens array<long>")
-    return sets.select("node", F.size("tokens").cast("long").alias("n"), "tokens").where("n > 0").dropDuplicates(["node"])
+    sets = texts.mapInArrow(partial(_whole_sets, n=n), "node long, tokens array<long>")
+    return sets.select("node", F.size("tokens").cast("long").alias("n"), "tokens").dropDuplicates(["node"])
 
 
 def ordered(sets: DataFrame, percent: int) -> DataFrame:
@@ -194,16 +202,40 @@ def link_nodes(nodes: DataFrame, percent: int) -> DataFrame:
     placed = nodes.join(labels, nodes["node"] == labels["vertex"], "left").select("node", "n", "live", "first", F.coalesce("component", "node").alias("component"))
     placed = placed.select("node", "n", "live", "component", "first", F.explode("first").alias("token"))
     # Only shingles whose nodes are still apart, and only pairs that lie apart and can share enough.
-    apart = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-    open_posts = stored(placed.join(apart, "token"), "open")
-    a = open_posts.select("token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "live", "component", "first")))
-    b = open_posts.select("token", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "live", "component", "first")))
+    posts = stored(_still_apart(placed, ["token"]), "open")
+    rest = stored(_split(posts, nodes, percent), "pairs")
+    forget(posts)
+    return found.unionByName(verify(rest, nodes, percent))
+
+
+def _still_apart(posts: DataFrame, key: list[str]) -> DataFrame:
+    """The posts of keys whose nodes lie in several components, and how many there are."""
+    apart = posts.groupBy(*key).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("many")).where("x != y").select(*key, "many")
+    return posts.drop("many").join(apart, key)
+
+
+def _pairs(posts: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """(a, b) of nodes that meet in a key, lie apart and can share enough; made at the first shingle that both prefixes have."""
+    a = posts.select(*key, *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "live", "component", "first")))
+    b = posts.select(*key, *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "live", "component", "first")))
     able = overlap_of(F.col("a_n"), F.col("b_n"), percent) <= F.least("a_live", "b_live")
-    # A pair is made at the first shingle of its prefixes that both have, so once.
     once = F.get(F.array_intersect("a_first", "b_first"), F.lit(0)) == F.col("token")
-    rest = a.join(b, "token").where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & able & once)
-    more = verify(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), nodes, percent)
-    return found.unionByName(more)
+    met = a.join(b, key).where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & able & once)
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def _split(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of all posts. The posts of a key with more than MANY nodes get a further key: each shingle of their prefix under the next order."""
+    key, found = ["token"], None
+    for order in ("second", "third", None):
+        few = _pairs(posts.where(F.col("many") <= MANY) if order else posts, key, percent)
+        found = few if found is None else found.unionByName(few)
+        if order is None or posts.where(F.col("many") > MANY).isEmpty():
+            break
+        finer = posts.where(F.col("many") > MANY).join(nodes.select("node", order), "node")
+        key = [*key, f"{order}_token"]
+        posts = stored(_still_apart(finer.withColumn(key[-1], F.explode(order)).drop(order), key), "finer")
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -212,19 +244,32 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     component_id is the smallest doc_id reachable by links of J >= percent/100
     between sets of n-word shingles.
     """
+    return _grouped(docs, n, percent).drop("key")
+
+
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with ``key``, the hash of the row's text."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    keys = stored(docs.mapInArrow(_keys(n), "doc_id long, n long, digest binary"), "keys")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
+    keys = stored(docs.mapInArrow(_keys(n), "doc_id long, key long, n long, node long"), "keys")
     sets = stored(candidates_for_join(docs, keys, n, percent), "sets")
     nodes = stored(ordered(sets, percent), "nodes")
+    forget(sets)
     parts = components(link_nodes(nodes, percent))
-    same = keys.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    placed = same.join(parts, F.col("node") == F.col("vertex"), "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    linked = keys.where("n > 0").join(placed, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(keys.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    same = keys.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    placed = same.join(parts, F.col("node") == F.col("vertex"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = keys.where("n > 0").join(placed.drop("doc_id").join(least, "component"), "node").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
+    return linked.unionByName(keys.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stand for their group (smallest doc_id), with all their columns; a null doc_id is kept."""
-    groups = near_duplicates(docs, n, percent).where("doc_id != component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(groups, docs["doc_id"] == F.col("_copy"), "left_anti")
+    """The documents that stand for their group (smallest doc_id), with all their columns.
+
+    Rows are judged by doc_id and text: of two rows of one doc_id, one may stay and
+    the other, another text, may go. Rows of a null doc_id stay.
+    """
+    gone = _grouped(docs, n, percent).where("doc_id != component_id").select("doc_id", "key").distinct()
+    doc, key = unused("copy_doc", docs), unused("copy_key", docs)
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("key").alias(key))
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(key)), "left_anti")
