@@ -1,8 +1,8 @@
 """Secret scans: pattern candidates, and a random forest that removes false positives.
 
 ``candidates`` finds runs that may be secrets in whole texts and describes each by
-length, character transitions, dictionary coverage, its path (the source and the
-file name or address before it) and the neighbouring words. ``fit_forest`` trains
+length, character transitions, dictionary coverage, its path (how much its source
+is code, and the file name or address before it) and the neighbouring words. ``fit_forest`` trains
 Spark's random forest on labelled findings; ``scan`` keeps what it believes.
 
 Labelled findings are a table (doc_id, start, label). Where none is given,
@@ -11,8 +11,9 @@ assignments to a secret's name); it leaves out what they don't decide. Some of t
 evidence is among the features too, so such labels teach the forest to extend the
 rules to undecided candidates, not to know better.
 
-Defined results: null and empty texts have no candidates; overlapping matches give
-the leftmost, longest run; each input row is scanned by itself, so repeated rows
+Defined results: null and empty texts have no candidates; of overlapping matches,
+what is assigned or a password of an address goes before a run, and the leftmost,
+longest of each kind counts; each input row is scanned by itself, so repeated rows
 repeat their findings; with findings of one label only (or none), every candidate
 gets that label's probability (0 without any); an empty table gives an empty
 result; columns other than ``doc_id``, ``source`` and ``text`` are not read.
@@ -23,7 +24,9 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import partial
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
@@ -32,11 +35,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platen.llm import textbytes as tb
 from platen.llm.shared import small_batches, stored
 
-#: A candidate: a run of 14 or more of these with a digit in it.
-RUN = re.compile(rb"[A-Za-z0-9+/_=\-]{14,}")
-DIGIT = re.compile(rb"[0-9]")
+#: Candidates: what is assigned to a secret's name or stands as the password of an address, whatever its characters; else a run of RUN_LENGTH or more, dotted parts together.
+RUN_LENGTH = 14
+ASSIGNED = re.compile(rb"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|credentials?|(?:api|access|private|auth)[_-]?key)[\"'`]?[ \t]*[=:][ \t]*([\"'`]?)([^\s\"'`]{4,})")
+ADDRESS = re.compile(rb"://[^\s:/@]*:([^\s@]+)@")
+RUN = re.compile(rb"[A-Za-z0-9+/_=\-]+(?:\.[A-Za-z0-9+/_=\-]+)*")
+#: Words of the dictionary: the most frequent ones of the corpus.
+DICTIONARY = 4096
 #: Labelled findings that a forest is trained on at most, half of each label.
 TRAIN = 20_000
 TREES, DEPTH = 30, 8
@@ -44,23 +52,16 @@ THRESHOLD = 0.5
 #: Bytes of text before and after a candidate that are its neighbourhood.
 AROUND = 48
 
-# Words beside secrets, words beside harmless identifiers, and frequent words for the dictionary.
+# Words beside secrets and words beside harmless identifiers.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "api", "apikey", "key", "auth", "bearer", "credential", "access", "private")
 HARMLESS_WORDS = ("sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "uuid", "id", "isbn", "version", "example", "test", "phone", "tel", "card", "http", "https", "www")
-DICTIONARY = (
-    "the and for that with this from have not are was but all can her his one our out day get has him how man new now old see two way who boy did its let put say she too use "
-    "and der die das und von mit auf für les des est que une dans los las por con para del ion ing ent tion ment keit lich ung schein able ness able ever over test data user name file "
-    "main list text page line word code time year back work home life hand part place case week point number"
-).split()
-
 FEATURES = (
     "length", "digits", "uppers", "lowers", "symbols", "entropy", "to_digit", "to_letter", "case_changes", "same_kind", "repeats", "hex_only", "digits_only",
-    "coverage", "longest_word", "quoted", "assigned", "after_secret_word", "after_harmless_word", "before_letters", "path_depth", "in_address", "source_hash",
+    "coverage", "longest_word", "quoted", "assigned", "after_secret_word", "after_harmless_word", "before_letters", "path_depth", "in_address", "of_source",
 )
 SCHEMA = "doc_id long, start long, finding string, before string, after string, " + ", ".join(f"f_{f} double" for f in FEATURES)
 
 _WORD = re.compile(rb"[A-Za-z][A-Za-z0-9]*")
-_WORDS = frozenset(w.encode() for w in DICTIONARY)
 _SECRET = frozenset(w.encode() for w in SECRET_WORDS)
 _HARMLESS = frozenset(w.encode() for w in HARMLESS_WORDS)
 _KIND = np.zeros(256, np.int8)
@@ -68,26 +69,43 @@ _KIND[48:58], _KIND[65:91], _KIND[97:123] = 1, 2, 3
 _HEX = frozenset(b"0123456789abcdefABCDEF")
 
 
-def _coverage(run: bytes) -> tuple[float, int]:
-    """The share of characters that dictionary words cover, and the longest word."""
-    low, covered, longest = run.lower(), bytearray(len(run)), 0
-    for size in range(3, 8):
-        for k in range(len(low) - size + 1):
-            if low[k : k + size] in _WORDS:
-                covered[k : k + size] = b"\1" * size
-                longest = size
-    return sum(covered) / len(run), longest
-
-
-def describe(run: bytes, before: bytes, after: bytes, source: bytes) -> list[float]:
+class Words:
+    """The dictionary as an automaton, and which share of a text its words cover."""
+
+    def __init__(self, words: list[str]):
+        self.find = ahocorasick.Automaton()
+        for w in words:
+            self.find.add_word(w, len(w))
+        self.any = bool(words)
+        if words:
+            self.find.make_automaton()
+
+    def coverage(self, run: bytes) -> tuple[float, int]:
+        """The share of characters that words cover, and the longest word."""
+        if not self.any:
+            return 0.0, 0
+        covered, longest, reach = 0, 0, []
+        for end, size in self.find.iter(run.lower().decode("latin-1")):
+            longest = max(longest, size)
+            a, z = end + 1 - size, end + 1
+            while reach and reach[-1][0] >= a:  # words come by their ends
+                covered -= reach[-1][1] - reach[-1][0]
+                reach.pop()
+            a = max(a, reach[-1][1]) if reach else a
+            reach.append((a, z))
+            covered += z - a
+        return covered / len(run), longest
+
+
+def describe(run: bytes, before: bytes, after: bytes, source: float, words: Words) -> list[float]:
     kinds = _KIND[np.frombuffer(run, np.uint8)]
     n = len(run)
     share = np.bincount(kinds, minlength=4) / n
     counts = np.unique(np.frombuffer(run, np.uint8), return_counts=True)[1] / n
     a, b = kinds[:-1], kinds[1:]
     steps = max(1, n - 1)
-    coverage, longest = _coverage(run[:256])
-    words = [w.lower() for w in _WORD.findall(before)[-3:]]
+    coverage, longest = words.coverage(run)
+    beside = [w.lower() for w in _WORD.findall(before)[-3:]]
     path = re.split(rb"\s", before)[-1]
     return [
         n,
@@ -107,26 +125,45 @@ def describe(run: bytes, before: bytes, after: bytes, source: bytes) -> list[flo
         longest,
         float(before[-1:] in (b'"', b"'", b"`") and after[:1] == before[-1:]),
         float(bool(re.search(rb"[=:]\s*[\"'`]?$", before))),
-        float(any(w in _SECRET for w in words)),
-        float(any(w in _HARMLESS for w in words)),
+        float(any(w in _SECRET for w in beside)),
+        float(any(w in _HARMLESS for w in beside)),
         float(sum(65 <= (c & 0xDF) <= 90 for c in before)) / AROUND,
         path.count(b"/") + path.count(b"."),
         float(b"://" in path or b"@" in path or after[:1] == b"@"),
-        sum(source) % 17,
+        source,
     ]
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spans_of(data: bytes) -> list[tuple[int, int]]:
+    """Candidates of a text, in order: assigned values and passwords of addresses, and the runs outside them."""
+    marked = sorted({(m.start(2), m.end(2)) for m in ASSIGNED.finditer(data)} | {(m.start(1), m.end(1)) for m in ADDRESS.finditer(data)}, key=lambda s: (s[0], -s[1]))
+    first, end = [], 0
+    for a, z in marked:
+        if a >= end:
+            first.append((a, z))
+            end = z
+    out, k = list(first), 0
+    for m in RUN.finditer(data):
+        a, z = m.span()
+        if z - a < RUN_LENGTH:
+            continue
+        while k < len(first) and first[k][1] <= a:
+            k += 1
+        if k == len(first) or first[k][0] >= z:
+            out.append((a, z))
+    return sorted(out)
+
+
+def _found(batches: Iterator[pa.RecordBatch], words: list[str], sources: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    known = Words(words)
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for part, _, _ in tb.slices(batch):
             rows: list[tuple] = []
             for doc, source, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "source", "text")), strict=True):
                 data = (text or "").encode()
-                for m in RUN.finditer(data):
-                    if DIGIT.search(m.group()):
-                        before, after = data[max(0, m.start() - AROUND) : m.start()], data[m.end() : m.end() + AROUND]
-                        rows.append((doc, m.start(), m.group(), before, after, describe(m.group(), before, after, (source or "").encode())))
+                for a, z in spans_of(data):
+                    before, after = data[max(0, a - AROUND) : a], data[z : z + AROUND]
+                    rows.append((doc, a, data[a:z], before, after, describe(data[a:z], before, after, sources.get(source or "", 0.0), known)))
             text = lambda k: pa.array([r[k].decode("utf-8", "ignore") for r in rows], pa.string())  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), text(2), text(3), text(4), *(pa.array([float(r[5][k]) for r in rows], pa.float64()) for k in range(len(FEATURES)))],
@@ -134,9 +171,24 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
+    """The ``size`` most frequent words of 3 to 12 letters a-z, by the documents that have them (ties: in order of letters)."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z])[a-z]{3,12}(?![a-z])"), F.lit(0)))).alias("word")
+    counted = docs.select(words).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]  # ``size`` rows
+
+
+def source_shares(docs: DataFrame, size: int = DICTIONARY) -> dict[str, float]:
+    """Of the ``size`` largest sources, the share of documents in which something is assigned to a name: how much a source is code."""
+    code = F.avg(F.coalesce(F.col("text").rlike(r"[A-Za-z_][A-Za-z0-9_]* ?[=:] ?[\"'`]"), F.lit(False)).cast("double")).alias("share")
+    counted = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(F.count("*").alias("n"), code)
+    return {r["source"]: r["share"] for r in counted.orderBy(F.desc("n"), "source").limit(size).collect()}  # ``size`` rows
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """documents -> (doc_id, start in bytes, finding, before, after, f_*); narrow, whole texts."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), "text").mapInArrow(_found, SCHEMA)
+    """documents -> (doc_id, start in bytes, finding, before, after, f_*); whole texts. The dictionary and the sources' shares are counted over all documents first."""
+    read = partial(_found, words=dictionary(docs), sources=source_shares(docs))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), "text").mapInArrow(read, SCHEMA)
 
 
 def luhn(digits: Column) -> Column:
@@ -146,13 +198,14 @@ def luhn(digits: Column) -> Column:
 
 
 def label_findings(found: DataFrame) -> DataFrame:
-    """(doc_id, start, label): 1 for key formats and long random values assigned to a secret's name, 0 for cards, addresses, numbers and words; others have none."""
+    """(doc_id, start, label): 1 for key formats, passwords in addresses and long random values assigned to a secret's name, 0 for cards, addresses, numbers and words; others have none."""
     run, before = F.col("finding"), F.lower("before")
     known = run.rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$") | run.rlike(r"^(ghp|gho|ghs|xox[abp]|sk|pk)[_-][0-9A-Za-z-]{16,}$") | run.rlike(r"^ey[A-Za-z0-9_-]{20,}$")
     named = before.rlike(r"(token|secret|passw(or)?d|api_?key|access_?key|credential)\s*[=:]\s*[\"'`]?$")
-    good = known | (named & (F.col("f_entropy") > 3.0) & (F.col("f_length") >= 16))
+    password = before.rlike(r"://[^\s:/@]*:$") & F.startswith("after", F.lit("@"))
+    good = known | password | (named & (F.col("f_entropy") > 3.0) & (F.col("f_length") >= 16))
     number = run.rlike("^[0-9]+$")
-    bad = (number & (luhn(run) | (F.length(run) < 17))) | (F.col("f_in_address") > 0) | (F.col("f_coverage") > 0.5) | (F.col("f_after_harmless_word") > 0) | run.rlike(r"^[0-9+\-]+$")
+    bad = (number & (luhn(run) | (F.length(run) < 17))) | ((F.col("f_in_address") > 0) & ~password) | (F.col("f_coverage") > 0.5) | (F.col("f_after_harmless_word") > 0) | run.rlike(r"^[0-9+\-]+$")
     label = F.when(good & ~bad, 1).when(bad & ~good, 0)
     return found.select("doc_id", "start", label.alias("label")).where("label is not null")
 
