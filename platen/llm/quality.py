@@ -17,15 +17,17 @@ result; columns other than ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platen.llm import textbytes as tb
-from platen.llm.shared import cut, small_batches
+from platen.llm.shared import cut, small_batches, unused
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_lines", "n_stops", "n_pipes")
 SCHEMA = "doc_id long, " + ", ".join(f"{f} long" for f in FEATURES)
@@ -37,6 +39,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 WINDOW = 8
 
+BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
+
 # Frequent function words of the four languages.
 STOPS = (
     "the of and to in is that for it as was on are with by at be this "
@@ -98,28 +102,34 @@ def _duplicate_lines(text: str) -> tuple[int, int]:
     return again, len(lines)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+    """Slices of the batch and the FEATURES of their texts."""
     stops = _stop_hashes()
+    for part, buf, offsets in tb.slices(batch):
+        starts, ends, bounds = tb.word_spans(buf, offsets)
+        exact = tb.span_hash(tb.prefix_hash(buf), starts, ends)
+        small = tb.span_hash(tb.prefix_hash(tb.LOWER[buf]), starts, ends)
+        found = stops[np.minimum(np.searchsorted(stops, small), len(stops) - 1)] == small
+        lines = [_duplicate_lines(t or "") for t in part.column("text").to_pylist()]
+        columns = {
+            "n_words": np.diff(bounds),
+            "word_chars": _sums(~tb.SPACE[buf] & ((buf & 0xC0) != 0x80), offsets),
+            "n_symbols": _sums(_SYMBOL[buf], offsets),
+            "n_dup_lines": np.array([x[0] for x in lines], np.int64),
+            "n_repeat_words": repeated_words(exact, bounds),
+            "n_upper": _sums(_UPPER[buf], offsets),
+            "n_digits": _sums(_DIGIT[buf], offsets),
+            "n_lines": np.array([x[1] for x in lines], np.int64),
+            "n_stops": _sums(found, bounds),
+            "n_pipes": _sums(buf == ord("|"), offsets),
+        }
+        yield part, [pa.array(columns[f], pa.int64()) for f in FEATURES]
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, buf, offsets in tb.slices(batch):
-            starts, ends, bounds = tb.word_spans(buf, offsets)
-            exact = tb.span_hash(tb.prefix_hash(buf), starts, ends)
-            small = tb.span_hash(tb.prefix_hash(tb.LOWER[buf]), starts, ends)
-            found = stops[np.minimum(np.searchsorted(stops, small), len(stops) - 1)] == small
-            lines = [_duplicate_lines(t or "") for t in part.column("text").to_pylist()]
-            columns = {
-                "n_words": np.diff(bounds),
-                "word_chars": _sums(~tb.SPACE[buf] & ((buf & 0xC0) != 0x80), offsets),
-                "n_symbols": _sums(_SYMBOL[buf], offsets),
-                "n_dup_lines": np.array([x[0] for x in lines], np.int64),
-                "n_repeat_words": repeated_words(exact, bounds),
-                "n_upper": _sums(_UPPER[buf], offsets),
-                "n_digits": _sums(_DIGIT[buf], offsets),
-                "n_lines": np.array([x[1] for x in lines], np.int64),
-                "n_stops": _sums(found, bounds),
-                "n_pipes": _sums(buf == ord("|"), offsets),
-            }
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(columns[f], pa.int64()) for f in FEATURES)], names=["doc_id", *FEATURES])
+        for part, columns in _described(batch):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", *FEATURES])
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -128,7 +138,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def base_failed() -> Column:
-    return F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
+    return F.expr(BASE_FAILED)
 
 
 def vote(bad: str, good: str) -> Column:
@@ -172,14 +182,43 @@ def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], prior: float =
     return {"share": float(share), "odds": odds.tolist()}
 
 
-def posterior(model: dict, names: list[str]) -> Column:
-    """The probability that a document is good, as a native expression over its vote columns."""
+def fit(found: DataFrame, rules: dict[str, tuple[str, str]]) -> dict:
+    """The label model of documents with FEATURES, from the counts of their vote patterns (at most 3 ** len(rules) rows)."""
+    names = [f"vote_{n}" for n in rules]
+    counts = found.select(*(vote(*r).alias(n) for n, r in zip(names, rules.values(), strict=True))).groupBy(*names).count().collect()
+    return fit_label_model(sorted((tuple(r[n] for n in names), r["count"]) for r in counts))
+
+
+def posterior(model: dict, votes: list[Column]) -> Column:
+    """The probability that a document is good, as a native expression over its votes."""
     logit = F.lit(math.log(model["share"]) - math.log(1 - model["share"]))
-    for name, odds in zip(names, model["odds"], strict=False):
-        logit = logit + F.when(F.col(name) == -1, F.lit(odds[0])).when(F.col(name) == 1, F.lit(odds[2])).otherwise(F.lit(0.0))
+    for cast, odds in zip(votes, model["odds"], strict=False):
+        logit = logit + F.when(cast == -1, F.lit(odds[0])).when(cast == 1, F.lit(odds[2])).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-logit))
 
 
+@F.arrow_udf(T.StructType([T.StructField(f, T.LongType()) for f in FEATURES]))
+def measured(texts: pa.Array) -> pa.Array:
+    """The FEATURES of each text, as a column."""
+    parts = [pa.StructArray.from_arrays(columns, names=list(FEATURES)) for _, columns in _described(pa.record_batch([texts], names=["text"]))]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(f, pa.int64()) for f in FEATURES]))
+
+
+def keep_good(docs: DataFrame, rules: dict[str, tuple[str, str]] | None = None, threshold: float = 0.5) -> DataFrame:
+    """The rows that ``judge_quality`` keeps, with all their columns; each row by its own text, whatever its doc_id.
+
+    The texts are read twice, for the EM and for the verdict, and never shuffled.
+    """
+    small_batches(docs.sparkSession)
+    rules = RULES if rules is None else rules
+    model = fit(features(docs), rules)
+    mine = unused("quality_features", docs)
+    columns = lambda sql: re.sub(r"\bn_\w+|\bword_chars\b", lambda m: f"`{mine}`.{m.group()}", sql)
+    good = posterior(model, [vote(*map(columns, r)) for r in rules.values()]) >= threshold
+    judged = docs.withColumn(mine, measured("text")).where(~F.expr(columns(BASE_FAILED)) & good)
+    return judged.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def judge_quality(docs: DataFrame, rules: dict[str, tuple[str, str]] | None = None, threshold: float = 0.5) -> DataFrame:
     """documents -> (doc_id, FEATURES, vote_<rule>..., base_failed, quality, kept).
 
@@ -190,7 +229,5 @@ def judge_quality(docs: DataFrame, rules: dict[str, tuple[str, str]] | None = No
     rules = RULES if rules is None else rules
     found = cut(features(docs))
     voted = found.select("*", *(vote(*r).alias(f"vote_{n}") for n, r in rules.items()), base_failed().alias("base_failed"))
-    names = [f"vote_{n}" for n in rules]
-    counts = voted.groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
-    model = fit_label_model([(tuple(r[n] for n in names), r["count"]) for r in counts])
-    return voted.withColumn("quality", posterior(model, names)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    model = fit(found, rules)
+    return voted.withColumn("quality", posterior(model, [F.col(f"vote_{n}") for n in rules])).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
