@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from platen.llm import textbytes as tb
 from platen.llm.packing import packed
-from platen.llm.shared import small_batches, stored
+from platen.llm.shared import small_batches, stored, unused
 
 _U = np.uint64
 
@@ -258,11 +258,12 @@ def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     return found.select("doc_id", "line_no", "h", "g")
 
 
-def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """documents -> the same columns and ``lines_removed`` (long), with the repeated lines taken out of ``text``; with ``short`` exact repeats of short lines too."""
+def dedup_lines(docs: DataFrame, short: bool = False, removed: str = "lines_removed") -> DataFrame:
+    """documents -> the same columns and ``removed`` (long; a column of that name is replaced), with the repeated lines taken out of ``text``; with ``short`` exact repeats of short lines too."""
     small_batches(docs.sparkSession)
-    gone = repeated_lines(docs, short).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h", "g")).alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    kept = [F.col(c) for c in docs.columns]
-    joined = docs.select(*(packed("text").alias("text") if c == "text" else docs[c] for c in docs.columns)).join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    fresh = [without_lines("text", "_gone").alias("text") if c == "text" else k for c, k in zip(docs.columns, kept, strict=True)]
-    return joined.select(*fresh, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_removed"))
+    docs = docs.select(*(docs[c] for c in docs.columns if c.lower() != removed.lower()))
+    lines, doc = unused("gone_lines", docs), unused("gone_doc", docs)
+    gone = repeated_lines(docs, short).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h", "g")).alias(lines)).withColumnRenamed("doc_id", doc)
+    joined = docs.select(*(packed("text").alias("text") if c == "text" else docs[c] for c in docs.columns)).join(gone, F.col("doc_id").cast("long") == F.col(doc), "left")
+    fresh = [without_lines("text", lines).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return joined.select(*fresh, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(removed))
