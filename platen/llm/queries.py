@@ -10,6 +10,8 @@ from platen.llm import bpe, line_dedup, media, mixing, ngram_join, quality, secr
 from platen.llm.shared import shared_path
 
 TOKEN_LIMIT = 2048
+#: Session setting: the folder of the token counts that outlive a query; where it is unset, a run starts with an empty cache of its own.
+TOKEN_CACHE = "spark.platen.tokenCache"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +33,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), shared_path(spark, "token-counts"))
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), spark.conf.get(TOKEN_CACHE, None) or shared_path(spark, "token-counts"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 

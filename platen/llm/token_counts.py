@@ -1,11 +1,13 @@
 """Token counts through a digest cache.
 
 A row of the cache is (content_digest, tokenizer_digest, n_tokens). The content
-digest is taken over normalised bytes: runs of ASCII white space become one space
-and A-Z small letters. The tokenizers served here drop white space and letter
-case, so equal normalised content has equal counts; a text that spells a special
-token (in any case) is digested as it is. The tokenizer digest is that of the
-vocabulary file, so a new version misses all that an older one stored.
+digest is taken over normalised bytes. For a tokenizer whose file says that it
+drops white space and letter case (``WordCounter.serves``), runs of ASCII white
+space become one space and A-Z small letters, so equal normalised content has
+equal counts; a text that spells a special token (in any case) is digested as it
+is. For every other .json and .model the content is the text itself. The tokenizer
+digest is that of the vocabulary file, so a new version misses all that an older
+one stored.
 
 ``count_tokens`` looks the digests up, encodes only the distinct misses, appends
 them to the cache (Parquet, in the shared folder) and joins the counts back.
@@ -27,11 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platen.llm import textbytes as tb
 from platen.llm.shared import small_batches
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
-#: Chunks that a worker remembers before it starts anew.
-MEMO = 400_000
+#: Words that a worker remembers before it starts anew; they are forgotten at the end of a task.
+MEMO = 200_000
+#: Bytes of text that are looked at together.
+STEP = 1 << 20
+#: Digests that a task remembers while it looks for repeats.
+SEEN = 1 << 20
+
+# What a tokenizer file says if its counts do not depend on white space and letter case.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 def tokenizer_digest(path: str) -> str:
@@ -39,7 +50,39 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-class Counter:
+class TextCounter:
+    """Counts the tokens of whole texts by the library: tokenizers for .json, sentencepiece for .model."""
+
+    def __init__(self, path: str):
+        if path.endswith(".model"):
+            import sentencepiece
+
+            library = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.count = lambda text: len(library.encode(text, num_threads=1))
+        else:
+            library = _library(path)
+            self.count = lambda text: len(library.encode(text, add_special_tokens=False).ids)
+
+    def digest(self, text: str) -> bytes:
+        return hashlib.blake2b(text.encode(), digest_size=16, person=b"as is").digest()
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return list(map(self.count, texts))
+
+    def forget(self) -> None:
+        pass
+
+
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_padding()
+    library.no_truncation()
+    return library
+
+
+class WordCounter:
     """Counts the tokens of texts by the library, word by word.
 
     No match of the pre-tokenizer holds white space and the normaliser works
@@ -48,16 +91,28 @@ class Counter:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        self.tokenizer = _library(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"].lower().encode() for t in spec["added_tokens"]]
         self.memo: dict[bytes, int] = {}
 
+    @staticmethod
+    def serves(path: str) -> bool:
+        """Whether the file is of the one kind that this way of counting holds for."""
+        if not path.endswith(".json"):
+            return False
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        normal, split = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+        steps = split.get("pretokenizers", [])
+        words = steps[:1] == [SPLIT] and [s["type"] for s in steps[1:]] == ["ByteLevel"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        special = all(t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) and t["content"].startswith("<|") for t in spec["added_tokens"])
+        return normal.get("normalizers") == NORMALIZERS and words and special and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+
+    def forget(self) -> None:
+        self.memo.clear()
+
     def content(self, text: str) -> tuple[bytes, bool]:
         """Normalised bytes, and whether a special token's spelling makes the text count as it stands."""
         data = text.encode()
@@ -97,16 +152,15 @@ class Counter:
 
 
 @lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(path)
+def counter(path: str) -> WordCounter | TextCounter:
+    return WordCounter(path) if WordCounter.serves(path) else TextCounter(path)
 
 
 def _keys(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = counter(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part, _, _ in tb.slices(batch, step=STEP):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([code.digest(t) for t in texts], pa.binary())],
@@ -117,14 +171,16 @@ def _keys(path: str):
 
 
 def _distinct_texts(path: str):
-    """One row for each digest of a partition, so that a text that fills a third of the table is one row of each task."""
+    """One row for each digest of a partition (or of SEEN different ones), so that a text that fills a third of the table is a few rows of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, seen = counter(path), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
+            for part, _, _ in tb.slices(batch, step=STEP):
+                if len(seen) > SEEN:
+                    seen.clear()
                 keys, texts = [], []
-                for text in batch.column("text").slice(at, 1024).to_pylist():
+                for text in part.column("text").to_pylist():
                     key = code.digest(text or "")
                     if key not in seen:
                         seen.add(key)
@@ -137,16 +193,20 @@ def _distinct_texts(path: str):
 
 def _encode(path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, seen = counter(path), set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                new = [i for i, key in enumerate(part.column("content_digest").to_pylist()) if key not in seen and not seen.add(key)]
-                part = part.take(pa.array(new, pa.int64()))
-                counts = code.counts(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("content_digest"), pa.array([version] * len(new), pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"]
-                )
+        code, last = counter(path), None
+        try:
+            for batch in batches:
+                for part, _, _ in tb.slices(batch, step=STEP):
+                    keys = part.column("content_digest").to_pylist()
+                    new = [i for i, key in enumerate(keys) if key != (keys[i - 1] if i else last)]  # equal digests stand together
+                    last = keys[-1]
+                    part = part.take(pa.array(new, pa.int64()))
+                    counts = code.counts(part.column("text").to_pylist())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("content_digest"), pa.array([version] * len(new), pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"]
+                    )
+        finally:
+            code.forget()
 
     return run
 
@@ -171,7 +231,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str) -> DataFrame:
     texts = docs.select("text").mapInArrow(_distinct_texts(tokenizer_path), "content_digest binary, text string")
     stored = read_cache(spark, cache).where(F.col("tokenizer_digest") == version)
     # Equal digests meet in one partition, where the encoder takes the first of each.
-    misses = texts.join(stored, "content_digest", "left_anti").repartition("content_digest")
+    misses = texts.join(stored, "content_digest", "left_anti").repartition("content_digest").sortWithinPartitions("content_digest")
     misses.mapInArrow(_encode(tokenizer_path, version), CACHE).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     keys = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_keys(tokenizer_path), "doc_id long, n_bytes long, content_digest binary")
