@@ -22,16 +22,20 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platen.llm import textbytes as tb
 from platen.llm.shared import small_batches
 
-#: Entries of a worker's memos before they start anew (some tens of megabytes).
-MEMO = 400_000
+#: Characters of the keys of a worker's memos before they start anew; the memos are emptied at the end of a task.
+MEMO = 1 << 20
+#: Bytes of text that are encoded at a time, and ids that are decoded at a time.
+STEP, IDS = 1 << 19, 1 << 18
 _EMPTY = -1
 
 
@@ -122,7 +126,10 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.hash = PerfectHash(self.ranks)
         self.find = regex.compile(pattern).findall
+        # The memo of chunks holds for the pattern of which it is known that single spaces and newlines start a match.
+        self.by_chunk = pattern == public_tokenizers.PATTERN
         self.words: dict[str, tuple[int, ...]] = {}
+        self.held = 0
         self.newline = tuple(self.token("\n"))
 
         class Memo(dict):
@@ -133,6 +140,7 @@ class Encoder:
                 ids = tuple(chain.from_iterable(map(self.token, self.find(memo.lead + part))))
                 if len(part) <= 64:
                     memo[part] = ids
+                    self.held += len(part) + 4
                 return ids
 
         self.first, self.rest = Memo(""), Memo(" ")
@@ -146,14 +154,19 @@ class Encoder:
             ids = (rank,) if rank != _EMPTY else tuple(merge_bytes(data, self.ranks))
             if len(word) <= 64:
                 self.words[word] = ids
+                self.held += len(word) + 4
         return ids
 
+    def forget(self) -> None:
+        for memo in (self.first, self.rest, self.words):
+            memo.clear()
+        self.held = 0
+
     def encode(self, text: str) -> array:
         """Ids of a text. Where single spaces or newlines stand between other characters no match spans them, so the parts go by the memo."""
-        for memo in (self.first, self.rest, self.words):
-            if len(memo) > MEMO:
-                memo.clear()
-        if self.JOINED.search(text):
+        if self.held > MEMO:
+            self.forget()
+        if not self.by_chunk or self.JOINED.search(text):
             return array("i", chain.from_iterable(map(self.token, self.find(text))))
         out = array("i")
         for k, line in enumerate(text.split("\n") if text else ()):
@@ -196,15 +209,20 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """documents -> (doc_id, ids array<int>); narrow, in bounded slices."""
 
     small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                each = [code.encode(t or "") for t in part.column("text").to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
-                values = np.concatenate([np.frombuffer(x, np.int32) for x in each]) if each else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], names=["doc_id", "ids"])
+        try:
+            for batch in batches:
+                for part, _, _ in tb.slices(batch, step=STEP):
+                    values, ends = array("i"), [0]
+                    for text in part.column("text").to_pylist():
+                        values.extend(code.encode(text or ""))
+                        ends.append(len(values))
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
+        finally:
+            code.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -214,8 +232,11 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            ends = np.cumsum(batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + IDS, side="right")))
+                part, at = batch.slice(at, to - at), to
                 ids = part.column("ids").fill_null([])
                 flat = ids.flatten().to_numpy(zero_copy_only=False)
                 counts = ids.value_lengths().to_numpy(zero_copy_only=False)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platen.llm import textbytes as tb
 from platen.llm.shared import small_batches
 
 RATE, BLOCK = 8000, 64
@@ -98,8 +99,7 @@ def pairs_of(times: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
+        for part, _, _ in tb.slices(batch):
             data = [(t or "").encode() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(d) for d in data], pa.int64()), pa.array([wav_of(padded(d)) for d in data], pa.binary())],
@@ -117,8 +117,7 @@ def _lists(parts: list[np.ndarray | None]) -> pa.Array:
 def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "payload_bytes", "payload_sha256", "tail_crc32", "fp_time", "fp_hash"]
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
+        for part, _, _ in tb.slices(batch, "media"):
             read = [samples_of(m) for m in part.column("media").to_pylist()]
             prints = [(None, None) if s is None else pairs_of(*peaks_of(s)) for s in read]
             yield pa.RecordBatch.from_arrays(
@@ -148,6 +147,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, n_bytes, media, payload_*, tail_crc32, fp_time, fp_hash); narrow, one pass, no shuffle."""
 
     small_batches(docs.sparkSession)
+
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for stored in _store(batches):
             for printed in _print(iter([stored])):

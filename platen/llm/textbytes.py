@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step handles (a longer text is a step of its own).
-STEP = 2 << 20
+STEP = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -27,7 +27,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n; kept for texts up to a few steps long."""
+    """P**i and P**-i modulo 2**64 for i < n; kept for slices of two steps at most."""
     if len(_powers[0]) >= n:
         return _powers[0][:n], _powers[1][:n]
     made = []
@@ -35,7 +35,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         steps = np.full(n, base, np.uint64)
         steps[0] = 1
         made.append(np.multiply.accumulate(steps))
-    if n <= 4 * STEP:
+    if n <= 2 * STEP:
         _powers[:] = made
     return made[0], made[1]
 
@@ -48,9 +48,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def text_array(column) -> pa.Array:
-    """A column of texts as one string array in which nulls are empty texts."""
+    """A column of texts (or bytes) as one array in which nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return column.fill_null(b"")
     if not pa.types.is_string(column.type) and not pa.types.is_large_string(column.type):
         column = column.cast(pa.large_string())
     return column.fill_null("")
