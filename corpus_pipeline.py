@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platen.llm import bpe, line_dedup, mixing, ngram_join, quality
-from platen.llm.shared import stored
+from platen.llm.shared import stored, unused
 
 
 def _like(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -21,23 +21,24 @@ def _like(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the label model believes are good; those it rejects go."""
-    rejected = quality.judge_quality(docs).where("not kept").select(F.col("doc_id").alias("_rejected")).distinct()
-    return _like(docs.join(rejected, docs["doc_id"] == F.col("_rejected"), "left_anti"), docs)
+    """Documents that the label model believes are good; those it rejects go, row by row. Null and empty texts fail the base rules."""
+    return _like(quality.keep_good(docs), docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document of which nothing is left goes too."""
-    return _like(line_dedup.dedup_lines(docs, short=True).where("text is null or lines_removed = 0 or trim(text) != ''"), docs)
+    """Repeated lines go; a document of which nothing is left goes too. Null texts and rows without a doc_id stay as they are."""
+    removed = unused("lines_removed", docs)
+    left = F.col("text").isNull() | (F.col(removed) == 0) | (F.trim("text") != "")
+    return _like(line_dedup.dedup_lines(docs, short=True, removed=removed).where(left), docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8) stays."""
+    """One document of each group of near-duplicates (five words, 0.8) stays. Texts without words and rows without a doc_id are in no group."""
     return _like(ngram_join.keep_one(docs, n=5, percent=80), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by probabilities that bring sources, languages and topics to their target weights."""
+    """Documents drawn at rates that bring sources, languages and topics to their target weights; a row for each draw. Null sources and languages count as ''."""
     return _like(mixing.sample(docs), docs)
 
 
