@@ -18,9 +18,9 @@ Steps, none of which brings a group together or makes all pairs of one:
 4. Each node is verified against the one pivot (the node with the fewest dead
    shingles) that it meets most often in prefixes. Then all pairs that share a
    prefix shingle and lie in different components are verified, so no link
-   between components is lost; links inside one change nothing. A shingle with
-   many such nodes is split by the shingles of their prefixes under the second
-   order, and again under the third: a pair must share one under each.
+   between components is lost; links inside one change nothing. The nodes of a busy
+   shingle meet by their prefixes under the second order instead, and those of a
+   busy shingle there under the third: a linked pair shares one under each.
 
 Defined results: null, empty and white-space texts have no shingles and are a
 component of their own (for a null doc_id, null); with fewer than n words the
@@ -46,8 +46,9 @@ from platen.llm.components import components
 from platen.llm.packing import packed, unpacked
 from platen.llm.shared import forget, small_batches, stored, unused
 
-#: Nodes that meet in a shingle, lie apart and are paired at once; beyond, the shingle is split by the next order.
+#: Nodes of different components that a shingle may pair; those of a busier one are met again under the next order.
 MANY = 128
+ORDERS = ("first", "second", "third")
 
 
 def need_of(size: Column, percent: int) -> Column:
@@ -180,10 +181,11 @@ def ordered(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) -> those that share prefix shingles under the second and third order too, and then link."""
-    side = lambda s: nodes.select(*(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "tokens", "second", "third")))
+    """(a, b) -> those that share prefix shingles under each order, and then link."""
+    side = lambda s: nodes.select(*(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "tokens", *ORDERS)))
     both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
-    both = both.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
+    for order in ORDERS:
+        both = both.where(F.arrays_overlap(f"a_{order}", f"b_{order}"))
     shared = F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long")
     return both.select("a", "b", "a_n", "b_n", shared.alias("shared")).where(100 * F.col("shared") >= percent * (F.col("a_n") + F.col("b_n") - F.col("shared"))).select("a", "b")
 
@@ -199,45 +201,41 @@ def link_nodes(nodes: DataFrame, percent: int) -> DataFrame:
     found = stored(verify(stars.select(F.col("node").alias("a"), F.col("pivot").alias("b")), nodes, percent), "stars")
 
     labels = components(found)
-    placed = nodes.join(labels, nodes["node"] == labels["vertex"], "left").select("node", "n", "live", "first", F.coalesce("component", "node").alias("component"))
-    placed = placed.select("node", "n", "live", "component", "first", F.explode("first").alias("token"))
-    # Only shingles whose nodes are still apart, and only pairs that lie apart and can share enough.
-    posts = stored(_still_apart(placed, ["token"]), "open")
-    rest = stored(_split(posts, nodes, percent), "pairs")
-    forget(posts)
-    return found.unionByName(verify(rest, nodes, percent))
+    placed = nodes.join(labels, nodes["node"] == labels["vertex"], "left").select(*ORDERS, nodes["node"], "n", "live", F.coalesce("component", "node").alias("component"))
+    return found.unionByName(verify(stored(_apart_pairs(placed, percent), "pairs"), nodes, percent))
 
 
-def _still_apart(posts: DataFrame, key: list[str]) -> DataFrame:
-    """The posts of keys whose nodes lie in several components, and how many there are."""
-    apart = posts.groupBy(*key).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("many")).where("x != y").select(*key, "many")
-    return posts.drop("many").join(apart, key)
+def _apart_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the nodes that share a prefix shingle, lie in different components and can share enough.
 
-
-def _pairs(posts: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """(a, b) of nodes that meet in a key, lie apart and can share enough; made at the first shingle that both prefixes have."""
-    a = posts.select(*key, *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "live", "component", "first")))
-    b = posts.select(*key, *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "live", "component", "first")))
+    A shingle of up to MANY nodes pairs them. The nodes of a busier one are met again
+    by their prefixes under the next order, in which a pair must share a shingle too.
+    """
+    made = None
+    for order in ORDERS:
+        posts = placed.select("node", "n", "live", "component", F.col(order).alias("head"), F.explode(order).alias("token"))
+        apart = posts.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("many")).where("x != y").select("token", "many")
+        posts = stored(posts.join(apart, "token"), "open")
+        last = order == ORDERS[-1]
+        pairs = _pairs(posts if last else posts.where(F.col("many") <= MANY), percent)
+        made = pairs if made is None else made.unionByName(pairs)
+        if not last:
+            busy = stored(posts.where(F.col("many") > MANY).select("node").distinct(), "busy")
+            if busy.isEmpty():
+                break
+            placed = placed.join(busy, "node", "left_semi")
+    return made.distinct()
+
+
+def _pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """The pairs of posts, each made at the first shingle that both prefixes have."""
+    a, b = (posts.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "live", "component", "head"))) for side in "ab")
     able = overlap_of(F.col("a_n"), F.col("b_n"), percent) <= F.least("a_live", "b_live")
-    once = F.get(F.array_intersect("a_first", "b_first"), F.lit(0)) == F.col("token")
-    met = a.join(b, key).where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & able & once)
+    once = F.get(F.array_intersect("a_head", "b_head"), F.lit(0)) == F.col("token")
+    met = a.join(b, "token").where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & able & once)
     return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
-def _split(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs of all posts. The posts of a key with more than MANY nodes get a further key: each shingle of their prefix under the next order."""
-    key, found = ["token"], None
-    for order in ("second", "third", None):
-        few = _pairs(posts.where(F.col("many") <= MANY) if order else posts, key, percent)
-        found = few if found is None else found.unionByName(few)
-        if order is None or posts.where(F.col("many") > MANY).isEmpty():
-            break
-        finer = posts.where(F.col("many") > MANY).join(nodes.select("node", order), "node")
-        key = [*key, f"{order}_token"]
-        posts = stored(_still_apart(finer.withColumn(key[-1], F.explode(order)).drop(order), key), "finer")
-    return found.distinct()
-
-
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """documents -> (doc_id, n_shingles, component_id), one row for each input row.
 
