@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -40,9 +41,15 @@ from platen.llm.shared import small_batches, stored
 
 #: Candidates: what is assigned to a secret's name or stands as the password of an address, whatever its characters; else a run of RUN_LENGTH or more, dotted parts together.
 RUN_LENGTH = 14
-ASSIGNED = re.compile(rb"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|credentials?|(?:api|access|private|auth)[_-]?key)[\"'`]?[ \t]*[=:][ \t]*([\"'`]?)([^\s\"'`]{4,})")
-ADDRESS = re.compile(rb"://[^\s:/@]*:([^\s@]+)@")
-RUN = re.compile(rb"[A-Za-z0-9+/_=\-]+(?:\.[A-Za-z0-9+/_=\-]+)*")
+NAME = re.compile(rb"(?:token|secret|passw(?:or)?d|passphrase|pwd|credentials?|(?:api|access|private|auth)[_-]?key)[\"'`]?[ \t]{0,8}\Z", re.IGNORECASE)
+SIGN, VALUE = re.compile(rb"[=:]"), re.compile(rb"[ \t]*[\"'`]?([^\s\"'`]{4,})")
+ADDRESS = re.compile(rb"://[^\s:/@]*:([^\s/]+)@")
+RUN = re.compile(rb"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_=\-](?:\.?[A-Za-z0-9+/_=\-]){%d,}" % (RUN_LENGTH - 1))
+#: Words that the dictionary may have, and the sign of code in a source.
+PLAIN = re.compile(rb"[a-z]{3,}")
+CODE = re.compile(rb"\w ?[=:] ?[\"'`]")
+#: Different words and sources that a task counts before it hands them on.
+COUNTED = 200_000
 #: Words of the dictionary: the most frequent ones of the corpus.
 DICTIONARY = 4096
 #: Labelled findings that a forest is trained on at most, half of each label.
@@ -136,7 +143,11 @@ def describe(run: bytes, before: bytes, after: bytes, source: float, words: Word
 
 def spans_of(data: bytes) -> list[tuple[int, int]]:
     """Candidates of a text, in order: assigned values and passwords of addresses, and the runs outside them."""
-    marked = sorted({(m.start(2), m.end(2)) for m in ASSIGNED.finditer(data)} | {(m.start(1), m.end(1)) for m in ADDRESS.finditer(data)}, key=lambda s: (s[0], -s[1]))
+    marked = {m.span(1) for m in ADDRESS.finditer(data)}
+    for sign in SIGN.finditer(data):
+        if NAME.search(data[max(0, sign.start() - 32) : sign.start()]) and (m := VALUE.match(data, sign.end())):
+            marked.add(m.span(1))
+    marked = sorted(marked, key=lambda s: (s[0], -s[1]))
     first, end = [], 0
     for a, z in marked:
         if a >= end:
@@ -145,8 +156,6 @@ def spans_of(data: bytes) -> list[tuple[int, int]]:
     out, k = list(first), 0
     for m in RUN.finditer(data):
         a, z = m.span()
-        if z - a < RUN_LENGTH:
-            continue
         while k < len(first) and first[k][1] <= a:
             k += 1
         if k == len(first) or first[k][0] >= z:
@@ -171,24 +180,54 @@ def _found(batches: Iterator[pa.RecordBatch], words: list[str], sources: dict[st
             )
 
 
-def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The ``size`` most frequent words of 3 to 12 letters a-z, by the documents that have them (ties: in order of letters)."""
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z])[a-z]{3,12}(?![a-z])"), F.lit(0)))).alias("word")
-    counted = docs.select(words).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]  # ``size`` rows
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, source, n, code): how many documents have a word; how many a source has, and how many of them look like code."""
 
+    def rows(words: dict[bytes, int], sources: dict[str, list[int]]) -> pa.RecordBatch:
+        words = {w.decode(): n for w, n in words.items() if len(w) <= 12}
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([*words, *[None] * len(sources)], pa.string()),
+                pa.array([*[None] * len(words), *sources], pa.string()),
+                pa.array([*words.values(), *(x[0] for x in sources.values())], pa.int64()),
+                pa.array([*[0] * len(words), *(x[1] for x in sources.values())], pa.int64()),
+            ],
+            names=["word", "source", "n", "code"],
+        )
 
-def source_shares(docs: DataFrame, size: int = DICTIONARY) -> dict[str, float]:
-    """Of the ``size`` largest sources, the share of documents in which something is assigned to a name: how much a source is code."""
-    code = F.avg(F.coalesce(F.col("text").rlike(r"[A-Za-z_][A-Za-z0-9_]* ?[=:] ?[\"'`]"), F.lit(False)).cast("double")).alias("share")
-    counted = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(F.count("*").alias("n"), code)
-    return {r["source"]: r["share"] for r in counted.orderBy(F.desc("n"), "source").limit(size).collect()}  # ``size`` rows
+    words, sources = Counter(), {}
+    for batch in batches:
+        for part, _, _ in tb.slices(batch):
+            for source, text in zip(part.column("source").to_pylist(), part.column("text").to_pylist(), strict=True):
+                data = (text or "").encode()
+                words.update(set(PLAIN.findall(data.lower())))
+                own = sources.setdefault(source or "", [0, 0])
+                own[0] += 1
+                own[1] += CODE.search(data) is not None
+            if len(words) + len(sources) > COUNTED:
+                yield rows(words, sources)
+                words, sources = Counter(), {}
+    yield rows(words, sources)
+
+
+def corpus_counts(docs: DataFrame, size: int = DICTIONARY) -> tuple[list[str], dict[str, float]]:
+    """The dictionary, and how much each source is code, counted over all documents.
+
+    The dictionary: the ``size`` most frequent words of 3 to 12 letters a-z, by the
+    documents that have them. Of the ``size`` largest sources, the share of documents
+    in which something quoted is assigned. Ties go in the order of letters.
+    """
+    counted = stored(docs.select("source", "text").mapInArrow(_counted, "word string, source string, n long, code long").groupBy("word", "source").agg(F.sum("n").alias("n"), F.sum("code").alias("code")), "counts")
+    words = counted.where("word is not null and n > 1").orderBy(F.desc("n"), "word").limit(size).collect()  # ``size`` rows
+    sources = counted.where("word is null").orderBy(F.desc("n"), "source").limit(size).collect()  # ``size`` rows
+    return [r["word"] for r in words], {r["source"]: r["code"] / r["n"] for r in sources}
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, start in bytes, finding, before, after, f_*); whole texts. The dictionary and the sources' shares are counted over all documents first."""
-    read = partial(_found, words=dictionary(docs), sources=source_shares(docs))
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), "text").mapInArrow(read, SCHEMA)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), "text")
+    words, sources = corpus_counts(docs)
+    return docs.mapInArrow(partial(_found, words=words, sources=sources), SCHEMA)
 
 
 def luhn(digits: Column) -> Column:
@@ -205,8 +244,8 @@ def label_findings(found: DataFrame) -> DataFrame:
     password = before.rlike(r"://[^\s:/@]*:$") & F.startswith("after", F.lit("@"))
     good = known | password | (named & (F.col("f_entropy") > 3.0) & (F.col("f_length") >= 16))
     number = run.rlike("^[0-9]+$")
-    bad = (number & (luhn(run) | (F.length(run) < 17))) | ((F.col("f_in_address") > 0) & ~password) | (F.col("f_coverage") > 0.5) | (F.col("f_after_harmless_word") > 0) | run.rlike(r"^[0-9+\-]+$")
-    label = F.when(good & ~bad, 1).when(bad & ~good, 0)
+    bad = (number & (F.coalesce(luhn(F.when(number, run)), F.lit(False)) | (F.length(run) < 17))) | ((F.col("f_in_address") > 0) & ~password) | (F.col("f_coverage") > 0.5) | (F.col("f_after_harmless_word") > 0) | run.rlike(r"^[0-9+\-]+$")
+    label = F.when(good != bad, good.cast("int"))
     return found.select("doc_id", "start", label.alias("label")).where("label is not null")
 
 
