@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,27 +32,31 @@ def prometheus_text(rollup: DataFrame) -> DataFrame:
     return rollup.select(F.posexplode(lines).alias("line_no", "line")).select(F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-def _at(place: Column) -> Column:
-    return F.max(F.when(F.col("_rank") == place + 1, F.col("ns")))
+def _bucket(ns: Column) -> Column:
+    """A value's leading bits, so that buckets are in the order of their values; there are at most 64 * 1024 of them."""
+    bits = F.length(F.bin(ns)).cast("int")
+    return F.when(ns < 0, F.lit(-1).cast("long")).otherwise(bits * F.lit(2048).cast("long") + F.call_function("shiftright", ns, F.greatest(bits - 11, F.lit(0))))
 
 
-def _ranked(samples: DataFrame, by: list[str]) -> DataFrame:
-    """(by, ns, weight, rank of the first, rank of the last): equal values are counted before they are ranked.
+def _stats(samples: DataFrame, by: list[str], places: dict[str, Column], avg: Column) -> DataFrame:
+    """Totals of each group and its values at the places (from 0).
 
-    Ranking is a window over the distinct values of a group, after a map-side count,
-    so a group's samples aren't sorted as rows.
+    Equal values are counted, buckets of near values summed, and only the buckets
+    that hold a wanted place are ranked value by value; so no task sorts a group.
     """
-    values = samples.groupBy(*by, "ns").agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*by).orderBy("ns").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return values.withColumn("_upto", F.sum("c").over(order))
-
-
-def _stats(samples: DataFrame, by: list[str], places: dict[str, Column], avg: Column) -> DataFrame:
-    ranked = _ranked(samples, by)
-    totals = samples.groupBy(*by).agg(F.count("*").alias("n"), F.sum("ns").alias("total"), F.min("ns").alias("min_ns"), F.max("ns").alias("max_ns"))
-    # The value at place p (from 0) is the smallest whose running count exceeds p.
-    joined = ranked.join(totals, by)
-    picks = joined.groupBy(*by, "n", "total", "min_ns", "max_ns").agg(*(F.min(F.when(F.col("_upto") > p, F.col("ns"))).alias(k) for k, p in places.items()))
+    values = samples.groupBy(*by, "ns").agg(F.count("*").alias("c")).withColumn("_bucket", _bucket(F.col("ns")))
+    totals = [F.sum("c").alias("n"), F.sum(F.col("ns") * F.col("c")).alias("total"), F.min("ns").alias("min_ns"), F.max("ns").alias("max_ns")]
+    buckets = values.groupBy(*by, "_bucket").agg(*totals)
+    group = Window.partitionBy(*by)
+    whole = {"_n": F.sum("n"), "_total": F.sum("total"), "_min": F.min("min_ns"), "_max": F.max("max_ns")}
+    upto = F.sum("n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    buckets = buckets.select(*by, "_bucket", (upto - F.col("n")).alias("_low"), upto.alias("_high"), *(x.over(group).alias(k) for k, x in whole.items()))
+    buckets = buckets.select(*by, "_bucket", "_low", "_high", F.col("_n").alias("n"), F.col("_total").alias("total"), F.col("_min").alias("min_ns"), F.col("_max").alias("max_ns"))
+    held = {k: (F.col("_low") <= p) & (p < F.col("_high")) for k, p in places.items()}
+    wanted = buckets.where(reduce(or_, held.values()))
+    within = Window.partitionBy(*by, "_bucket").orderBy("ns").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = values.join(wanted, [*by, "_bucket"]).withColumn("_upto", F.col("_low") + F.sum("c").over(within))
+    picks = ranked.groupBy(*by, "n", "total", "min_ns", "max_ns").agg(*(F.min(F.when(held[k] & (F.col("_upto") > p), F.col("ns"))).alias(k) for k, p in places.items()))
     return picks.withColumn("avg_ns", avg)
 
 
@@ -156,6 +163,13 @@ def trace_join(requests: DataFrame, spans: DataFrame) -> DataFrame:
     return requests.join(spans, "trace_id")
 
 
+def trace_totals(requests: DataFrame, spans: DataFrame) -> DataFrame:
+    """(trace_id, pairs, ns): of each trace, the pairs that ``trace_join`` would make and their spans' time; both sides are counted first, no pair is made."""
+    asked = requests.groupBy("trace_id").agg(F.count("*").alias("requests"))
+    spent = spans.groupBy("trace_id").agg(F.count("*").alias("spans"), F.sum("ns").alias("spent"))
+    return asked.join(spent, "trace_id").select("trace_id", (F.col("requests") * F.col("spans")).alias("pairs"), (F.col("requests") * F.col("spent")).alias("ns"))
+
+
 def log_gate(logs: DataFrame, length: int = 255) -> DataFrame:
     """Lines of level INFO and above, messages cut to the log's length."""
     level = {"DEBUG": 0, "INFO": 1, "WARN": 2, "WARNING": 2, "ERROR": 3, "CRITICAL": 4}

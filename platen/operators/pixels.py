@@ -20,14 +20,42 @@ from platen.operators import geometry, pipelines
 FRAMES = "frame_id long, width int, height int, channels int, stride int, data binary"
 LUMA = (77, 150, 29)
 HALF, SHIFT = 1 << 31, 32
+#: Operations of a pipeline.
+MOST = 32
+#: Pixel rows of an Arrow batch; frames of a step.
+ROWS, TOGETHER = 1 << 16, 256
+
+
+def _pixel_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole lines at a time, about ROWS rows in a batch."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+
+    def rows(parts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*parts, strict=True), kinds, strict=True)], names=["frame_id", "y", "x", "c", "v"])
+
+    parts, held = [], 0
+    for batch in batches:
+        frames = [batch.column(c).to_pylist() for c in ("frame_id", "width", "height", "stride")]
+        for frame_id, width, height, stride, data in zip(*frames, batch.column("data"), strict=True):
+            image = np.frombuffer(data.as_buffer(), np.uint8)
+            step = max(1, ROWS // (width * 3))
+            for y in range(0, min(height, -(-len(image) // stride)), step):
+                at = (np.arange(y, min(height, y + step))[:, None] * stride + np.arange(width * 3)).ravel()
+                at = at[at < len(image)]
+                within = at % stride
+                parts.append((np.full(len(at), frame_id), at // stride, within // 3, within % 3, image[at]))
+                held += len(at)
+                if held >= ROWS:
+                    yield rows(parts)
+                    parts, held = [], 0
+    if parts:
+        yield rows(parts)
 
 
 def frames_to_pixels(frames: DataFrame) -> DataFrame:
-    """One row for each byte of each pixel; padding beyond 3 bytes a pixel is passed over."""
-    each = frames.where("width > 0 and height > 0").select("frame_id", "width", "height", "stride", F.posexplode(F.regexp_extract_all(F.hex("data"), F.lit(".."), F.lit(0))).alias("i", "b"))
-    y, at = F.expr("i div stride"), F.col("i") % F.col("stride")
-    inside = each.where((at < F.col("width") * 3) & (y < F.col("height")))
-    return inside.select("frame_id", y.cast("int").alias("y"), F.expr("(i % stride) div 3").cast("int").alias("x"), (at % 3).cast("int").alias("c"), F.conv("b", 16, 10).cast("int").alias("v"))
+    """One row for each byte of each pixel; padding beyond 3 bytes a pixel is passed over, and so are frames without data."""
+    some = frames.where("width > 0 and height > 0 and data is not null")
+    return some.select("frame_id", "width", "height", "stride", "data").mapInArrow(_pixel_rows, "frame_id long, y int, x int, c int, v int")
 
 
 def resize_bilinear(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -130,8 +158,8 @@ def _each_frame(frames: DataFrame, extra: list[str], change) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256).to_pylist()
+            for at in range(0, batch.num_rows, TOGETHER):
+                rows = batch.slice(at, TOGETHER).to_pylist()
                 made = [change(as_array(r["data"], r["width"], r["height"], r["stride"]), r) for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -154,6 +182,39 @@ def resize_frames(frames: DataFrame, sizes: DataFrame) -> DataFrame:
     return _each_frame(joined, ["new_w", "new_h"], lambda image, r: resize_array(image, r["new_w"], r["new_h"]))
 
 
+def point_frames(frames: DataFrame, name: str, amount=0) -> DataFrame:
+    """A point operator (grayscale, uniform_gray, brightness, normalise) on whole frames, by the rule of its relational form. amount: what brightness adds, a column or a number."""
+    change = {
+        "grayscale": lambda image, r: luma_array(image),
+        "uniform_gray": lambda image, r: (image.astype(np.int32) * LUMA[0] >> 8).astype(np.uint8),
+        "brightness": lambda image, r: np.minimum(image.astype(np.int32) + r["amount"], 255).astype(np.uint8),
+        "normalise": lambda image, r: image >> 1,
+    }[name]
+    whole = frames.where("width > 0 and height > 0 and data is not null").select("frame_id", "width", "height", "stride", "data", (F.lit(amount) if isinstance(amount, int) else amount).alias("amount"))
+    return _each_frame(whole, ["amount"], change)
+
+
+def line_digests(frames: DataFrame) -> DataFrame:
+    """(frame_id, y, n, digest): the bytes of each line of pixels, and their sum weighted by place (from 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(c).to_pylist() for c in ("width", "height", "stride")]
+            sums = [as_array(data.as_buffer(), w, h, s).reshape(h, w * 3) @ np.arange(1, w * 3 + 1) for w, h, s, data in zip(*sizes, batch.column("data"), strict=True)]
+            heights = [len(x) for x in sums]
+            columns = [
+                np.repeat(batch.column("frame_id").to_numpy(), heights),
+                np.concatenate([np.arange(h) for h in heights] or [np.zeros(0, np.int64)]),
+                np.repeat(np.array(sizes[0], np.int64) * 3, heights),
+                np.concatenate(sums or [np.zeros(0, np.int64)]),
+            ]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["frame_id", "y", "n", "digest"])
+
+    some = frames.where("width > 0 and height > 0 and data is not null")
+    return some.select("frame_id", "width", "height", "stride", "data").mapInArrow(run, "frame_id long, y int, n long, digest long")
+
+
 def luma_array(image: np.ndarray) -> np.ndarray:
     y = (image.astype(np.int32) @ np.array(LUMA, np.int32)) >> 8
     return np.repeat(y[..., None], 3, axis=2).astype(np.uint8)
@@ -177,7 +238,8 @@ def run_pipeline(frames: DataFrame, ops: DataFrame, lenient: bool = False) -> Da
     """frames with (pipeline_id = frame_id, op_index, op_code, brightness, new_w, new_h) -> frames after all their operations.
 
     A pipeline with an operation that doesn't resolve leaves its frame as it is,
-    or (lenient) skips that operation. A pipeline has 32 operations at most.
+    or (lenient) skips that operation. A pipeline of more than MOST operations leaves
+    its frame as it is in both modes.
     """
     spark = frames.sparkSession
     verdict = pipelines.resolve_strict(ops, pipelines.registry_table(spark))
@@ -185,13 +247,14 @@ def run_pipeline(frames: DataFrame, ops: DataFrame, lenient: bool = False) -> Da
     steps = ops.join(known, ["pipeline_id", "op_index"])
     if not lenient:
         steps = steps.join(verdict.where("result = 0").select("pipeline_id"), "pipeline_id")
-    lists = steps.groupBy("pipeline_id").agg(F.array_sort(F.collect_list(F.struct("op_index", "op_code", "brightness", "new_w", "new_h"))).alias("steps"))
+    short = ops.groupBy("pipeline_id").agg(F.count("*").alias("ops")).where(F.col("ops") <= MOST).select("pipeline_id")
+    lists = steps.join(short, "pipeline_id", "left_semi").groupBy("pipeline_id").agg(F.array_sort(F.collect_list(F.struct("op_index", "op_code", "brightness", "new_w", "new_h"))).alias("steps"))
     joined = frames.where("width > 0 and height > 0").join(lists, F.col("frame_id") == F.col("pipeline_id"), "left").drop("pipeline_id")
     registry = dict(pipelines.REGISTRY)
 
     def change(image, r):
         pipelines.REGISTRY.update(registry)
-        for step in (r["steps"] or [])[:32]:
+        for step in r["steps"] or []:
             image = run_operation(image, step["op_code"], step)
         return image
 

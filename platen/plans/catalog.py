@@ -11,6 +11,7 @@ from platen.functions import gates
 from platen.functions.numbers import cm_to_px
 from platen.operators import bands, geometry as geo, jobs, metrics, pipelines, pixels
 from platen.plans.fixtures import fixture
+from platen.sources import sinks
 
 C = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -338,7 +339,7 @@ def resize_bilinear(spark, p, f):
 
 @query("frames")
 def resize_bilinear_batch(spark, f):
-    return _lines(pixels.frames_to_pixels(pixels.resize_frames(f, _sizes(f))))
+    return pixels.line_digests(pixels.resize_frames(f, _sizes(f)))
 
 
 @query2("pixels", "frames")
@@ -351,24 +352,39 @@ def resize_v(spark, p, f):
     return _lines(pixels.resize_nearest(p, geo.axis_table(_sizes(f)), "y"))
 
 
-@query("pixels")
-def grayscale(spark, p):
-    return _lines(pixels.grayscale(p))
+@query("frames")
+def grayscale(spark, f):
+    return pixels.line_digests(pixels.point_frames(f, "grayscale"))
 
 
-@query("pixels")
-def uniform_gray(spark, p):
-    return _lines(pixels.uniform_gray(p))
+@query("frames")
+def uniform_gray(spark, f):
+    return pixels.line_digests(pixels.point_frames(f, "uniform_gray"))
 
 
-@query("pixels")
-def brightness(spark, p):
-    return _lines(pixels.brightness(p, (C("frame_id") % 300).cast("int")))
+@query("frames")
+def brightness(spark, f):
+    return pixels.line_digests(pixels.point_frames(f, "brightness", (C("frame_id") % 300).cast("int")))
+
+
+@query("frames")
+def normalise(spark, f):
+    return pixels.line_digests(pixels.point_frames(f, "normalise"))
 
 
 @query("pixels")
-def normalise(spark, p):
-    return _lines(pixels.normalise(p))
+def pixel_lines(spark, p):
+    """The relational form of frames, and its point operators in one projection."""
+    return _lines(pixels.normalise(pixels.brightness(pixels.uniform_gray(p), 40)))
+
+
+@query("frames")
+def roundtrip_export(spark, f):
+    """Frames written as PPM and read back: the file's digest, and whether the pixels are the same."""
+    back = sinks.frames_from_ppm(sinks.export_frames(f)).select("frame_id", C("width").alias("w"), C("height").alias("h"), C("data").alias("back"))
+    files = sinks.export_frames(f).select("frame_id", F.sha2("bytes", 256).alias("file_sha256"))
+    same = (C("w") == C("width")) & (C("h") == C("height")) & (C("back") == C("data"))
+    return f.join(back, "frame_id").join(files, "frame_id").select("frame_id", "file_sha256", same.alias("same"))
 
 
 @query2("pixels", "frames", "pipeline_ops")
@@ -401,8 +417,9 @@ def pipeline_batch(spark, f, ops):
 
 
 def _proofs(t, f):
-    """Every job as a proof: its own layout at proof resolution, on a frame of the table."""
-    return t.withColumn("dpi", F.lit(PROOF_DPI).cast("long")).withColumns({"gap": C("gap") % 3, "padding": C("padding") % 4})
+    """Every job as a proof: its own layout at proof resolution, gap and padding scaled with it, on a frame of the table."""
+    scaled = lambda c: F.expr(f"{c} * {PROOF_DPI} div dpi")
+    return t.withColumns({"gap": scaled("gap"), "padding": scaled("padding")}).withColumn("dpi", F.lit(PROOF_DPI).cast("long"))
 
 
 @query2("jobs", "frames")
@@ -518,7 +535,7 @@ def scrape_windows(spark, t):
 
 @query2("http_requests", "spans")
 def trace_join(spark, t, s):
-    return metrics.trace_join(t, metrics.span_durations(s)).groupBy("trace_id").agg(F.count("*").alias("pairs"), F.sum("ns").alias("ns"))
+    return metrics.trace_totals(t, metrics.span_durations(s))
 
 
 @query("logs")

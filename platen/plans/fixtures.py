@@ -1,13 +1,16 @@
 """Tables of the print domain derived from the given tables: SQL that Spark and DuckDB both read.
 
 Where the engines differ, ``DIALECT`` has the DuckDB form. All rows and whole
-texts are used; a document's frame is all its bytes, eight pixels wide.
+texts are used; a document's frame is all its bytes, eight pixels wide, the last
+line filled up with zeros.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from platen.operators.pixels import frames_to_pixels
+
 SQL = {
     "jobs": """SELECT o_orderkey AS job_id, o_custkey AS frame_id, CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 2 END AS abi_version,
   CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 0 END AS template_id,
@@ -45,21 +48,22 @@ SQL = {
     "binlog": """SELECT event_id * 1000 AS ts, CAST(1 + event_id % 4 AS INT) AS event_id, CAST(user_id % 128 AS INT) AS cpu,
   CAST(round(value * 1000) AS BIGINT) AS arg0, user_id AS arg1, CAST(0 AS BIGINT) AS arg2 FROM events""",
     "spans": """SELECT CAST(user_id AS STRING) AS trace_id, event_type AS name, event_id * 1000000 AS start_ns, event_id * 1000000 + CAST(round(value * 1000000) AS BIGINT) AS end_ns FROM events""",
-    "frames": """SELECT doc_id AS frame_id, 8 AS width, CAST(octet_length(encode(text, 'utf-8')) div 24 AS INT) AS height, 3 AS channels, 24 AS stride, encode(text, 'utf-8') AS data
-  FROM documents WHERE octet_length(encode(text, 'utf-8')) >= 24""",
-    "pixels": """SELECT frame_id, CAST(i div 24 AS INT) AS y, CAST((i % 24) div 3 AS INT) AS x, CAST(i % 3 AS INT) AS c, CAST(conv(b, 16, 10) AS INT) AS v
-  FROM (SELECT doc_id AS frame_id, octet_length(encode(text, 'utf-8')) div 24 * 24 AS n, posexplode(regexp_extract_all(hex(encode(text, 'utf-8')), '..', 0)) AS (i, b) FROM documents) WHERE i < n""",
+    "frames": """SELECT doc_id AS frame_id, 8 AS width, CAST((octet_length(encode(text, 'utf-8')) + 23) div 24 AS INT) AS height, 3 AS channels, 24 AS stride,
+  rpad(encode(text, 'utf-8'), CAST((octet_length(encode(text, 'utf-8')) + 23) div 24 * 24 AS INT), X'00') AS data FROM documents WHERE octet_length(encode(text, 'utf-8')) > 0""",
 }
 DIALECT = {
-    "frames": """SELECT doc_id AS frame_id, 8 AS width, CAST(octet_length(encode(text)) // 24 AS INT) AS height, 3 AS channels, 24 AS stride FROM documents WHERE octet_length(encode(text)) >= 24""",
+    "frames": """SELECT doc_id AS frame_id, 8 AS width, CAST((octet_length(encode(text)) + 23) // 24 AS INT) AS height, 3 AS channels, 24 AS stride,
+  encode(text) || unhex(repeat('00', CAST((24 - octet_length(encode(text)) % 24) % 24 AS INT))) AS data FROM documents WHERE octet_length(encode(text)) > 0""",
     "pixels": """SELECT frame_id, CAST(i // 24 AS INT) AS y, CAST((i % 24) // 3 AS INT) AS x, CAST(i % 3 AS INT) AS c, CAST('0x' || substr(h, 2 * i + 1, 2) AS INT) AS v
-  FROM (SELECT doc_id AS frame_id, hex(encode(text)) AS h, unnest(range(0, (octet_length(encode(text)) // 24) * 24)) AS i FROM documents)""",
+  FROM (SELECT doc_id AS frame_id, hex(encode(text)) || repeat('0', 46) AS h, unnest(range(0, ((octet_length(encode(text)) + 23) // 24) * 24)) AS i FROM documents)""",
 }
 _TABLES = ("orders", "lineitem", "events", "documents", "conversations")
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table; only the columns that a query asks for are read."""
+    if name == "pixels":
+        return frames_to_pixels(fixture(spark, sf_dir, "frames"))
     sql = SQL[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if f"FROM {t}" in sql}
     for t in used:
@@ -69,4 +73,4 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def oracle(name: str) -> str:
     """The derived table as a DuckDB subquery."""
-    return f"({DIALECT.get(name, SQL[name])})"
+    return f"({DIALECT.get(name) or SQL[name]})"

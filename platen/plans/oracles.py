@@ -192,6 +192,8 @@ ORACLES = {
     "crop": lines(f"""(SELECT frame_id, CASE WHEN ok THEN y - cy ELSE y END AS y, CASE WHEN ok THEN x - 1 ELSE x END AS x, c, v FROM (SELECT *, 1 + cw <= 8 AND cy + 3 <= height AS ok FROM (SELECT p.*, CAST(p.frame_id % 5 AS INT) AS cy, 2 + p.frame_id % 8 AS cw, height FROM {T('pixels')} p JOIN {T('frames')} q USING (frame_id)))
  WHERE NOT ok OR (x >= 1 AND x < 1 + cw AND y >= cy AND y < cy + 3))"""),
     "planar": lines(T("pixels")),
+    "pixel_lines": pixel("least(((v * 77) >> 8) + 40, 255) >> 1"),
+    "roundtrip_export": f"SELECT frame_id, sha256(encode('P6' || chr(10) || width || ' ' || height || chr(10) || '255' || chr(10)) || data) AS file_sha256, TRUE AS same FROM {T('frames')}",
     "core_metrics": f"SELECT * FROM {CORES}",
     "metrics_rollup": f"SELECT * FROM {ROLLUP}",
     "prometheus_text": f"SELECT CAST(0 AS BIGINT) AS line_no, 'img_requests_total ' || total AS line FROM {ROLLUP} UNION ALL SELECT 1, 'img_latency_avg ' || avg_ns FROM {ROLLUP} UNION ALL SELECT 2, 'img_latency_max ' || max_ns FROM {ROLLUP}",
