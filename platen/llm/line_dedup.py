@@ -44,6 +44,8 @@ _U = np.uint64
 
 MIN_CHARS = 20
 SEGMENTS = 3
+#: Lines that a task remembers while it looks for repeats.
+SEEN = 1 << 19
 
 
 def _signed(x: int) -> int:
@@ -140,10 +142,12 @@ def _lines(batches: Iterator[pa.RecordBatch], short: bool = False) -> Iterator[p
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, h): the segment keys of each line, once for a line in a partition."""
+    """(key, h): the segment keys of each line, once for a line among SEEN of a partition."""
     seen: set[int] = set()
     for batch in batches:
         for part, _, _ in tb.slices(batch, step=1 << 19):
+            if len(seen) > SEEN:
+                seen.clear()
             lines, hashes = [], []
             for text in part.column("text").to_pylist():
                 for line in (text or "").split("\n"):
