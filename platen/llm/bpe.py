@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from platen.llm import textbytes as tb
 from platen.llm.shared import small_batches
 
-#: Characters of the keys of a worker's memos before they start anew; the memos are emptied at the end of a task.
-MEMO = 1 << 20
+#: Characters of the keys of a worker's memos before they start anew (about 200 MB with their ids); the memos are emptied at the end of a task.
+MEMO = 10 << 20
 #: Bytes of text that are encoded at a time, and ids that are decoded at a time.
 STEP, IDS = 1 << 19, 1 << 18
 _EMPTY = -1
@@ -137,7 +137,8 @@ class Encoder:
                 memo.lead = lead
 
             def __missing__(memo, part: str) -> tuple[int, ...]:  # noqa: N805
-                ids = tuple(chain.from_iterable(map(self.token, self.find(memo.lead + part))))
+                # Letters after the lead are one match, remembered here only.
+                ids = self.ids_of(memo.lead + part) if part.isalpha() else tuple(chain.from_iterable(map(self.token, self.find(memo.lead + part))))
                 if len(part) <= 64:
                     memo[part] = ids
                     self.held += len(part) + 4
@@ -149,14 +150,17 @@ class Encoder:
         """Ids of one match of the pattern."""
         ids = self.words.get(word)
         if ids is None:
-            data = word.encode()
-            rank = self.hash.get(data)
-            ids = (rank,) if rank != _EMPTY else tuple(merge_bytes(data, self.ranks))
+            ids = self.ids_of(word)
             if len(word) <= 64:
                 self.words[word] = ids
                 self.held += len(word) + 4
         return ids
 
+    def ids_of(self, word: str) -> tuple[int, ...]:
+        data = word.encode()
+        rank = self.hash.get(data)
+        return (rank,) if rank != _EMPTY else tuple(merge_bytes(data, self.ranks))
+
     def forget(self) -> None:
         for memo in (self.first, self.rest, self.words):
             memo.clear()
