@@ -303,9 +303,10 @@ def build_index(rows: list, terms: np.ndarray, strength: np.ndarray, df: np.ndar
     weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
     cell = term * max(1, blocks) + slot // BLOCK
     order = np.argsort(cell, kind="stable")
-    index.slots, index.weights = slot[order], weight[order]
-    index.starts = np.searchsorted(cell[order], np.arange(len(terms) * max(1, blocks) + 1))
+    index.slots, index.weights = slot[order].astype(np.int32), weight[order]
+    index.starts = np.searchsorted(cell[order], np.arange(len(terms) * max(1, blocks) + 1)).astype(np.int32)  # at most the terms of EXAMPLES texts
     np.maximum.at(index.highest, (term, slot // BLOCK), weight)
+    index.highest = np.where(index.highest > 0, np.nextafter(index.highest.astype(np.float32), np.float32(2)), np.float32(0))  # a bound, so rounded up
     if not len(rows) or toxic.min() == toxic.max():
         index.slope, index.offset = 0.0, math.log(max(share, 1e-9)) - math.log(max(1 - share, 1e-9))
         return index
