@@ -19,7 +19,7 @@ from platen.operators import geometry, jobs as job_ops
 from platen.operators.pixels import as_array, resize_array
 
 LINES = 64
-BANDS = "job_id long, band long, y0 long, width long, h int, data binary"
+BANDS = "job_id {}, band long, y0 long, width long, h int, data binary"  # by the type of the jobs' ids
 TILES = "frame_id long, cell_w long, cell_h long, mode int, bg long, tile binary"
 SHEET = ("page_w", "page_h", "gap", "border_px", "bleed_px", "crop_mark_px", "crop_thickness", "crop_offset_px", "bg_sig")
 
@@ -160,10 +160,10 @@ def compose_bands(sheets: DataFrame, tiles: DataFrame, lines: int = LINES) -> Da
                 for r in rows:
                     tile = None if r["tile"] is None else np.frombuffer(r["tile"], np.uint8).reshape(r["cell_h"], r["cell_w"], 3)
                     made.append(compose_band(r, tile).tobytes())
-                columns = [pa.array([r[k] for r in rows], t) for k, t in (("job_id", pa.int64()), ("band", pa.int64()), ("y0", pa.int64()), ("page_w", pa.int64()), ("h", pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.binary())], names=["job_id", "band", "y0", "width", "h", "data"])
+                columns = [pa.array([r[k] for r in rows], t) for k, t in (("band", pa.int64()), ("y0", pa.int64()), ("page_w", pa.int64()), ("h", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column("job_id").slice(at, 32), *columns, pa.array(made, pa.binary())], names=["job_id", "band", "y0", "width", "h", "data"])
 
-    return joined.select(*names).mapInArrow(run, BANDS)
+    return joined.select(*names).mapInArrow(run, BANDS.format(dict(sheets.dtypes)["job_id"]))
 
 
 def render_jobs(frames: DataFrame, jobs: DataFrame, lines: int = LINES) -> DataFrame:

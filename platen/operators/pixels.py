@@ -155,12 +155,17 @@ def as_array(data: bytes, width: int, height: int, stride: int) -> np.ndarray:
 
 def _each_frame(frames: DataFrame, extra: list[str], change) -> DataFrame:
     """Runs a function (array, row of extra columns) -> array over all frames, in place of their pixels."""
+    return _each_batch(frames, extra, lambda images, rows: [change(image, r) for image, r in zip(images, rows, strict=True)])
+
+
+def _each_batch(frames: DataFrame, extra: list[str], change) -> DataFrame:
+    """Runs a function (arrays, rows of extra columns) -> arrays over up to TOGETHER frames at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 rows = batch.slice(at, TOGETHER).to_pylist()
-                made = [change(as_array(r["data"], r["width"], r["height"], r["stride"]), r) for r in rows]
+                made = change([as_array(r["data"], r["width"], r["height"], r["stride"]) for r in rows], rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r["frame_id"] for r in rows], pa.int64()),
@@ -234,12 +239,33 @@ def run_operation(image: np.ndarray, code: int, params: dict) -> np.ndarray:
     return image[axis_places(image.shape[0], height)[0]][:, axis_places(image.shape[1], width)[0]]
 
 
+def run_together(images: list[np.ndarray], steps: list[list[dict]]) -> list[np.ndarray]:
+    """Frames through their operations in turn; a batch function gets all frames whose next operation is its own, with the same parameters, in one call."""
+    images = list(images)
+    for k in range(max(map(len, steps), default=0)):
+        groups: dict[tuple, list[int]] = {}
+        for i, own in enumerate(steps):
+            if k < len(own):
+                groups.setdefault(tuple(sorted((n, v) for n, v in own[k].items() if n != "op_index")), []).append(i)
+        for members in groups.values():
+            params = steps[members[0]][k]
+            own = pipelines.REGISTRY.get(params["op_code"])
+            if own is not None and own.batch:
+                made = own.batch([images[i] for i in members], params)
+            else:
+                made = [run_operation(images[i], params["op_code"], params) for i in members]
+            for i, image in zip(members, made, strict=True):
+                images[i] = image
+    return images
+
+
 def run_pipeline(frames: DataFrame, ops: DataFrame, lenient: bool = False) -> DataFrame:
     """frames with (pipeline_id = frame_id, op_index, op_code, brightness, new_w, new_h) -> frames after all their operations.
 
     A pipeline with an operation that doesn't resolve leaves its frame as it is,
     or (lenient) skips that operation. A pipeline of more than MOST operations leaves
-    its frame as it is in both modes.
+    its frame as it is in both modes. One by one, an operation's frame function is
+    preferred; lenient pipelines go in batches, where its batch function is.
     """
     spark = frames.sparkSession
     verdict = pipelines.resolve_strict(ops, pipelines.registry_table(spark))
@@ -252,10 +278,16 @@ def run_pipeline(frames: DataFrame, ops: DataFrame, lenient: bool = False) -> Da
     joined = frames.where("width > 0 and height > 0").join(lists, F.col("frame_id") == F.col("pipeline_id"), "left").drop("pipeline_id")
     registry = dict(pipelines.REGISTRY)
 
-    def change(image, r):
+    def change(images, rows):
         pipelines.REGISTRY.update(registry)
-        for step in r["steps"] or []:
-            image = run_operation(image, step["op_code"], step)
-        return image
-
-    return _each_frame(joined, ["steps"], change)
+        steps = [r["steps"] or [] for r in rows]
+        if lenient:
+            return run_together(images, steps)
+        out = []
+        for image, own in zip(images, steps, strict=True):
+            for step in own:
+                image = run_operation(image, step["op_code"], step)
+            out.append(image)
+        return out
+
+    return _each_batch(joined, ["steps"], change)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from platen.functions import gates
 from platen.functions.numbers import cm_to_px
-from platen.operators import bands, geometry as geo, jobs, metrics, pipelines, pixels
+from platen.operators import bands, geometry as geo, jobs, metrics, pipelines, pixels, tables
 from platen.plans.fixtures import fixture
 from platen.sources import sinks
 
@@ -435,6 +435,30 @@ def tile_digests(spark, t, f):
     return bands.make_tiles(f, jobs.dedupe_tiles(sheets)).select("frame_id", "cell_w", "cell_h", "mode", "bg", F.sha2("tile", 256).alias("digest"))
 
 
+def _tiles(f, mode, bg):
+    """A small tile of every frame, by its lines."""
+    keys = f.select("frame_id", F.lit(6).cast("long").alias("cell_w"), (4 + C("frame_id") % 3).alias("cell_h"), F.lit(mode).alias("mode"), bg.alias("bg"))
+    size = [C("cell_w").cast("int").alias("width"), C("cell_h").cast("int").alias("height"), (C("cell_w") * 3).cast("int").alias("stride")]
+    return pixels.line_digests(bands.make_tiles(f, keys).select("frame_id", *size, C("tile").alias("data")))
+
+
+@query("frames")
+def tile_fill(spark, f):
+    return _tiles(f, 1, F.lit(-1).cast("long"))
+
+
+@query("frames")
+def tile_fit(spark, f):
+    return _tiles(f, 0, C("frame_id") * 4099 % 16777216)
+
+
+@query("jobs")
+def cells_table_function(spark, t):
+    """The cells of all sheets by the table function."""
+    tables.register_tables(spark)
+    return spark.sql("SELECT s.job_id, c.cell_idx, c.row, c.col, c.x, c.y, c.w, c.h FROM {s} s, LATERAL cells(s.cols, s.rows, s.gap, s.start_x, s.start_y, s.cell_w, s.cell_h) c", s=geo.grid_geometry(t))
+
+
 # Telemetry.
 
 

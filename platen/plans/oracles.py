@@ -61,9 +61,9 @@ def templated(columns: str = "*") -> str:
 SIZES = f"(SELECT frame_id, width, height, 6 AS new_w, greatest(1, height // 2) AS new_h FROM {T('frames')})"
 
 
-def axis(which: str, src: str, size: str) -> str:
+def axis(which: str, src: str, size: str, sizes: str = SIZES) -> str:
     return f"""(SELECT frame_id, '{which}' AS axis, dst, (dst * step) >> 16 AS i0, least(((dst * step) >> 16) + 1, {src} - 1) AS i1, (dst * step) & 65535 AS w
- FROM (SELECT *, CASE WHEN {src} <= 1 OR {size} <= 1 THEN 0 ELSE (({src} - 1) * 65536) // ({size} - 1) END AS step, unnest(range(0, {size})) AS dst FROM {SIZES}))"""
+ FROM (SELECT *, CASE WHEN {src} <= 1 OR {size} <= 1 THEN 0 ELSE (({src} - 1) * 65536) // ({size} - 1) END AS step, unnest(range(0, {size})) AS dst FROM {sizes}))"""
 
 
 AX, AY = axis("x", "width", "new_w"), axis("y", "height", "new_h")
@@ -74,15 +74,38 @@ def lines(pixels: str) -> str:
     return f"SELECT frame_id, y, {DIGEST} FROM {pixels} GROUP BY frame_id, y"
 
 
-BILINEAR = f"""(SELECT ax.frame_id, CAST(ay.dst AS INT) AS y, CAST(ax.dst AS INT) AS x, p.c,
+def bilinear(ax: str = AX, ay: str = AY) -> str:
+    return f"""(SELECT ax.frame_id, CAST(ay.dst AS INT) AS y, CAST(ax.dst AS INT) AS x, p.c,
  CAST(((p.v * (65536 - ax.w) + q.v * ax.w) * (65536 - ay.w) + (r.v * (65536 - ax.w) + s.v * ax.w) * ay.w + 2147483648) >> 32 AS INT) AS v
- FROM {AX} ax JOIN {AY} ay USING (frame_id)
+ FROM {ax} ax JOIN {ay} ay USING (frame_id)
  JOIN {T('pixels')} p ON p.frame_id = ax.frame_id AND p.x = ax.i0 AND p.y = ay.i0
  JOIN {T('pixels')} q ON q.frame_id = ax.frame_id AND q.x = ax.i1 AND q.y = ay.i0 AND q.c = p.c
  JOIN {T('pixels')} r ON r.frame_id = ax.frame_id AND r.x = ax.i0 AND r.y = ay.i1 AND r.c = p.c
  JOIN {T('pixels')} s ON s.frame_id = ax.frame_id AND s.x = ax.i1 AND s.y = ay.i1 AND s.c = p.c)"""
 
 
+BILINEAR = bilinear()
+
+
+def tile_sizes(pick: str) -> str:
+    """Each frame's scaled size for its tile, and the tile's place: 'greatest' covers the cell, 'least' fits in it."""
+    scale = f"{pick}(CAST({f('cell_w')} / {f('width')} AS FLOAT), CAST({f('cell_h')} / {f('height')} AS FLOAT))"
+    bound = (lambda size, cell: f"greatest({size}, {cell})") if pick == "greatest" else (lambda size, cell: f"least(greatest({size}, 1), {cell})")
+    scaled = lambda side: bound(f"CAST(trunc({f(side)} * {scale}) AS BIGINT)", "cell_w" if side == "width" else "cell_h")
+    return f"(SELECT *, {scaled('width')} AS new_w, {scaled('height')} AS new_h FROM (SELECT frame_id, width, height, 6 AS cell_w, 4 + frame_id % 3 AS cell_h FROM {T('frames')}))"
+
+
+def tile(pick: str) -> str:
+    sizes = tile_sizes(pick)
+    scaled = bilinear(axis("x", "width", "new_w", sizes), axis("y", "height", "new_h", sizes))
+    if pick == "greatest":
+        return f"""(SELECT frame_id, CAST(y - (new_h - cell_h) // 2 AS INT) AS y, CAST(x - (new_w - cell_w) // 2 AS INT) AS x, c, v FROM {scaled} JOIN {sizes} USING (frame_id)
+ WHERE y >= (new_h - cell_h) // 2 AND y < (new_h - cell_h) // 2 + cell_h AND x >= (new_w - cell_w) // 2 AND x < (new_w - cell_w) // 2 + cell_w)"""
+    return f"""(SELECT k.frame_id, CAST(k.y AS INT) AS y, k.x, k.c, coalesce(b.v, (k.frame_id * 4099 % 16777216 // CAST(65536 / power(256, k.c) AS BIGINT)) % 256) AS v
+ FROM (SELECT *, unnest([0, 1, 2]) AS c FROM (SELECT *, unnest(range(0, cell_w)) AS x FROM (SELECT *, unnest(range(0, cell_h)) AS y FROM {sizes}))) k
+ LEFT JOIN {scaled} b ON b.frame_id = k.frame_id AND b.c = k.c AND b.y = k.y - (cell_h - new_h) // 2 AND b.x = k.x - (cell_w - new_w) // 2)"""
+
+
 def pixel(v: str) -> str:
     return lines(f"(SELECT * REPLACE (CAST({v} AS INT) AS v) FROM {T('pixels')})")
 
@@ -182,6 +205,9 @@ ORACLES = {
  LEFT JOIN (SELECT op_code, count(DISTINCT pipeline_id) AS n FROM {OPS} GROUP BY 1) u ON u.op_code = code""",
     "resize_bilinear": lines(BILINEAR),
     "resize_bilinear_batch": lines(BILINEAR),
+    "tile_fill": lines(tile("greatest")),
+    "tile_fit": lines(tile("least")),
+    "cells_table_function": f'SELECT job_id, cell_idx, "row", col, x, y, w, h FROM {cells()}',
     "resize_h": lines(f"(SELECT p.* REPLACE (CAST(a.dst AS INT) AS x) FROM {T('pixels')} p JOIN {AX} a ON a.frame_id = p.frame_id AND a.i0 = p.x)"),
     "resize_v": lines(f"(SELECT p.* REPLACE (CAST(a.dst AS INT) AS y) FROM {T('pixels')} p JOIN {AY} a ON a.frame_id = p.frame_id AND a.i0 = p.y)"),
     "grayscale": lines(f"(SELECT frame_id, y, x, unnest([0, 1, 2]) AS c, v FROM (SELECT frame_id, y, x, CAST(sum(v * CASE c WHEN 0 THEN 77 WHEN 1 THEN 150 ELSE 29 END) AS BIGINT) >> 8 AS v FROM {T('pixels')} GROUP BY ALL))"),

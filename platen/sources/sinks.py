@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from platen.operators import geometry
 
-EXPORT = "job_id long, bytes binary"
+EXPORT = "job_id {}, bytes binary"  # by the type of the jobs' ids
 
 
 def write_bands(bands: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -29,7 +29,7 @@ def export_sheets(bands: DataFrame) -> DataFrame:
         width, height, data = _gathered(pdf)
         return pd.DataFrame({"job_id": [pdf["job_id"].iloc[0]], "bytes": [b"P6\n%d %d\n255\n" % (width, height) + data]})
 
-    return bands.groupBy("job_id").applyInPandas(one, EXPORT)
+    return bands.groupBy("job_id").applyInPandas(one, EXPORT.format(dict(bands.dtypes)["job_id"]))
 
 
 def export_frames(frames: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def export_pdf(bands: DataFrame, jobs: DataFrame) -> DataFrame:
         width, height, data = _gathered(pdf)
         return pd.DataFrame({"job_id": [pdf["job_id"].iloc[0]], "bytes": [pdf_bytes(width, height, data, float(pdf["w_pt"].iloc[0]), float(pdf["h_pt"].iloc[0]))]})
 
-    return bands.join(sized, "job_id").groupBy("job_id").applyInPandas(one, EXPORT)
+    return bands.join(sized, "job_id").groupBy("job_id").applyInPandas(one, EXPORT.format(dict(bands.dtypes)["job_id"]))
 
 
 def upsert_jobs(current: DataFrame, updates: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from platen.functions import gates
 from platen.operators import bands, geometry, jobs as job_ops, metrics
 from platen.sources import readers, sinks
 
@@ -25,11 +26,19 @@ def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
 
 
 def start_intake(requests: DataFrame, jobs_path: str, messages_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Requests -> queued job records and queue messages. A batch that is run again overwrites its own folder."""
+    """Requests -> queued job records and queue messages with all that a worker needs.
+
+    A job id is accepted once; a batch that is run again overwrites its own folder.
+    A message's frame goes by its input path, as in ``readers.read_photos``.
+    """
 
     def accept(batch: DataFrame, epoch: int) -> None:
-        known = batch.where("job_id is not null").dropDuplicates(["job_id"])
-        planned = job_ops.service_payload(known)
+        fresh = batch.where("job_id is not null").dropDuplicates(["job_id"])
+        if epoch:
+            earlier = batch.sparkSession.read.schema("job_id string, epoch int").parquet(jobs_path).where(F.col("epoch") < epoch)
+            fresh = fresh.join(earlier, "job_id", "left_anti")
+        planned = job_ops.service_payload(fresh).withColumns({"frame_id": F.xxhash64("input"), "abi_version": F.lit(gates.JOB_ABI)})
+        planned = job_ops.with_defaults(planned)
         records = planned.select("job_id", "input", "output", F.lit("queued").alias("status"))
         records.write.mode("overwrite").parquet(f"{jobs_path}/epoch={epoch}")
         planned.write.mode("overwrite").parquet(f"{messages_path}/epoch={epoch}")
@@ -103,6 +112,29 @@ def retry_states(updates: DataFrame, max_retries: int = 3, backoff_s: int = 5, t
     return updates.groupBy("job_id").applyInPandasWithState(each, schema, "attempts long", "append", "ProcessingTimeTimeout")
 
 
+def rate_limited(requests: DataFrame, limit: int, window: str = "1 minute") -> DataFrame:
+    """Streams (client, request_id, accepted): the first ``limit`` requests of a client in each tumbling window, as they come.
+
+    The state is a count for each client and window, forgotten once the watermark has
+    passed the window; requests of one micro-batch go by their times.
+    """
+
+    def each(key, batches: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
+        state.update((seen + len(rows),))
+        state.setTimeoutTimestamp(max(int(key[1]) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"].to_numpy(), "accepted": [p < limit for p in range(seen, seen + len(rows))]})
+
+    dealt = requests.withWatermark("ts", WATERMARK).withColumn("_end", F.window("ts", window)["end"].cast("long")).groupBy("client", "_end")
+    kind = dict(requests.dtypes)
+    schema = f"client {kind['client']}, request_id {kind['request_id']}, accepted boolean"
+    return dealt.applyInPandasWithState(each, schema, "seen long", "append", "EventTimeTimeout")
+
+
 def plan_stream(jobs: DataFrame) -> DataFrame:
     """Sheet plans of a stream of jobs, by the same columns as in batch."""
     return geometry.grid_geometry(jobs)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platen.functions import gates
-from platen.operators import bands, geometry, jobs, metrics, pipelines, pixels
+from platen.operators import bands, geometry, jobs, metrics, pipelines, pixels, tables
 from platen.plans.catalog import QUERIES
 from platen.plans.oracles import ORACLES
 from platen.sources import readers, sinks
@@ -153,6 +153,40 @@ def test_pipelines_and_custom_operations(spark, frames):
     assert bytes(loose[3].data) == pixels.luma_array(raw[3]).tobytes()
 
 
+def test_batch_functions_get_batches(spark, frames):
+    def both(images, p):
+        return [np.full_like(image, len(images)) for image in images]
+
+    ops = [(k, 1, 201, 5, 0, 0) for k in range(3)] + [(3, 1, 201, 6, 0, 0), (0, 2, 3, 0, 0, 0), (1, 2, 202, 0, 0, 0)]
+    table = spark.createDataFrame(ops, "pipeline_id long, op_index long, op_code long, brightness long, new_w long, new_h long")
+    pipelines.register_op("count", 201, lambda image, p: image, both)
+    pipelines.register_op("one", 202, lambda image, p: image + 1)
+    try:
+        together = {r.frame_id: bytes(r.data)[0] for r in pixels.run_pipeline(frames.coalesce(1), table.coalesce(1), lenient=True).coalesce(1).collect()}
+        alone = {r.frame_id: bytes(r.data) for r in pixels.run_pipeline(frames, table).where("frame_id = 2").collect()}
+        steps = [[{"op_index": i, "op_code": c, "brightness": b} for q, i, c, b, _, _ in ops if q == k] for k in range(4)]
+        made = pixels.run_together([np.zeros((1, 1, 3), np.uint8)] * 4, steps)
+    finally:
+        pipelines.REGISTRY.clear()
+    assert [int(m[0, 0, 0]) for m in made] == [3, 4, 3, 1]
+    assert together[3] == 1 and together[2] in (1, 2, 3)  # as many as met in an Arrow batch
+    raw = frames.where("frame_id = 2").first()
+    assert alone[2] == bytes(raw.data)
+
+
+def test_table_functions(spark, golden):
+    sheets = geometry.grid_geometry(golden)
+    cells = geometry.placed_cells(geometry.cell_grid(sheets)).where("job_id < 3")
+    tables.register_tables(spark)
+    made = spark.sql("SELECT s.job_id, c.* FROM {s} s, LATERAL cells(s.cols, s.rows, s.gap, s.start_x, s.start_y, s.cell_w, s.cell_h) c", s=sheets)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, geometry.cell_grid(sheets).select("job_id", "cell_idx", "row", "col", "x", "y", "w", "h").collect()))
+    made = spark.sql("SELECT s.job_id, s.cell_idx, r.* FROM {s} s, LATERAL rects(s.x, s.y, s.w, s.h, s.border_px, s.crop_mark_px, s.crop_thickness, s.crop_offset_px) r", s=cells)
+    wanted = geometry.border_rects(cells).unionByName(geometry.crop_mark_rects(cells)).select("job_id", "cell_idx", "layer", "part", "x", "y", "w", "h")
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, wanted.collect()))
+    nothing = sheets.limit(1).withColumn("gap", F.lit(None).cast("long"))
+    assert spark.sql("SELECT c.* FROM {s} s, LATERAL cells(s.cols, s.rows, s.gap, s.start_x, s.start_y, s.cell_w, s.cell_h) c", s=nothing).count() == 0
+
+
 def test_templates(spark):
     catalog = jobs.templates(spark)
     named = jobs.lookup_template(spark.createDataFrame([("passport-45x35",), ("passport-38x35-printready",), ("none",)], "preset string"), catalog, "preset")
@@ -237,7 +271,50 @@ def test_streams(spark, frames, tmp_path):
     assert sorted((r.level, len(r.message)) for r in spark.read.parquet(str(tmp_path / "index")).collect()) == [("ERROR", 255), ("INFO", 255)]
 
 
-@pytest.mark.parametrize("name", ["template_coverage", "override_merge", "render_signature", "crop_mark_rects", "fuse_params", "grayscale", "decoder_stats", "retry_policy"])
+def test_intake_feeds_worker(spark, tmp_path):
+    """A photo, two requests for it (one of them twice, in two batches), bands, sheets and PDF."""
+    photos, drop = tmp_path / "photos", tmp_path / "requests"
+    photos.mkdir()
+    drop.mkdir()
+    rgb = np.random.default_rng(2).integers(0, 256, 6 * 5 * 3, dtype=np.uint8).tobytes()
+    (photos / "a.png").write_bytes(png(6, 5, rgb))
+    origin = spark.read.format("image").load(str(photos)).select("image.origin").first()[0]
+    frames = readers.read_photos(spark, str(photos))
+
+    def run(*ids):
+        for k in ids:
+            (drop / f"{k}-{len(list(drop.iterdir()))}.json").write_text(json.dumps({"job_id": k, "input_path": origin, "output_path": "o", "params": {"cols": 2, "rows": 3, "dpi": 10, "gap": 1, "padding": 1, "crop_mark": 1, "bleed": 1}}) + "\n")
+        service.start_intake(readers.job_stream(spark, str(drop)), str(tmp_path / "jobs"), str(tmp_path / "messages"), str(tmp_path / "c1"), once=True).awaitTermination()
+
+    run("x")
+    run("x", "y")
+    messages = spark.read.parquet(str(tmp_path / "messages"))
+    assert sorted(r.job_id for r in messages.collect()) == ["x", "y"]
+    stream = spark.readStream.schema(messages.schema).parquet(str(tmp_path / "messages"))
+    service.start_worker(stream, frames, str(tmp_path / "out"), str(tmp_path / "c2"), once=True).awaitTermination()
+    states = spark.read.parquet(str(tmp_path / "out/states"))
+    assert sorted((r.job_id, r.status) for r in states.collect()) == [(k, s) for k in "xy" for s in ("completed", "processing")]
+    made = spark.read.parquet(str(tmp_path / "out/bands"))
+    sheet = geometry.grid_geometry(messages).first()
+    tile = bands.tile_array(np.frombuffer(rgb, np.uint8).reshape(5, 6, 3), sheet.cell_w, sheet.cell_h, 1, -1)
+    page = paint(sheet, tile).tobytes()
+    assert {r.job_id: bytes(r.bytes).split(b"255\n", 1)[1] == page for r in sinks.export_sheets(made).collect()} == {"x": True, "y": True}
+    assert sorted(r.job_id for r in sinks.export_pdf(made, messages).collect()) == ["x", "y"]
+
+
+def test_rate_limit_stream(spark, tmp_path):
+    rows = [(k, "ab"[k % 2], f"2026-01-01 00:0{k // 8}:{10 + k}") for k in range(16)]
+    table = spark.createDataFrame(rows, "request_id long, client string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (table.where("request_id % 8 < 5"), table.where("request_id % 8 >= 5")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        limited = service.rate_limited(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")), 3)
+        limited.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    wanted = metrics.rate_limit(table, 3).select("client", "request_id", "accepted")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+@pytest.mark.parametrize("name", ["template_coverage", "override_merge", "render_signature", "crop_mark_rects", "fuse_params", "grayscale", "decoder_stats", "retry_policy", "tile_fill", "tile_fit", "cells_table_function"])
 def test_queries_against_sql(spark, sf_dir, name):
     import duckdb
 
