@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -59,13 +59,30 @@ def start_worker(messages: DataFrame, frames: DataFrame, out: str, checkpoint: s
     return _start(messages.writeStream.foreachBatch(work), checkpoint, once)
 
 
-def start_status(updates: DataFrame, table: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Status updates -> the job table, version by version: a batch reads the version before it and writes its own."""
+def read_status(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """The job table that ``start_status`` keeps (as it was before a batch): of each bucket the last version that holds it."""
+    every = spark.read.schema("job_id string, status string, logs string, error string, version int, bucket int").parquet(table)
+    if before is not None:
+        every = every.where(F.col("version") < before)
+    last = every.groupBy("bucket").agg(F.max("version").alias("version"))  # a row for each bucket
+    return every.join(F.broadcast(last), ["bucket", "version"])
+
+
+def start_status(updates: DataFrame, table: str, checkpoint: str, once: bool = False, buckets: int = 64) -> StreamingQuery:
+    """Status updates -> the job table, by buckets of job ids; a batch writes a version of the buckets that it touches and leaves the others.
+
+    A batch that is run again overwrites its own version. ``buckets`` stays what it was when the table began.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        current = spark.read.parquet(f"{table}/version={epoch - 1}") if epoch else spark.createDataFrame([], "job_id string, status string, logs string, error string")
-        sinks.upsert_jobs(current, batch).write.mode("overwrite").parquet(f"{table}/version={epoch}")
+        of = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
+        touched = [r.bucket for r in batch.select(of.alias("bucket")).distinct().collect()]  # at most ``buckets``
+        if epoch:
+            current = read_status(spark, table, epoch).where(F.col("bucket").isin(touched)).select("job_id", "status", "logs", "error")
+        else:
+            current = spark.createDataFrame([], "job_id string, status string, logs string, error string")
+        sinks.upsert_jobs(current, batch).withColumn("bucket", of).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/version={epoch}")
 
     return _start(updates.writeStream.foreachBatch(merge), checkpoint, once)
 

@@ -271,6 +271,26 @@ def test_streams(spark, frames, tmp_path):
     assert sorted((r.level, len(r.message)) for r in spark.read.parquet(str(tmp_path / "index")).collect()) == [("ERROR", 255), ("INFO", 255)]
 
 
+def test_status_table_by_buckets(spark, tmp_path):
+    """Batches write only the buckets they touch; the table is the last version of each bucket."""
+    states, table = tmp_path / "states", tmp_path / "table"
+    states.mkdir()
+    run = lambda: service.start_status(readers.status_stream(spark, str(states)), str(table), str(tmp_path / "c"), once=True, buckets=8).awaitTermination()
+    write = lambda k, rows: (states / f"{k}.json").write_text("".join(json.dumps({"event_id": 100 * k + n, "job_id": j, "status": s, "ts": f"2026-01-01T00:00:0{k}Z"}) + "\n" for n, (j, s) in enumerate(rows)))
+    jobs = [f"job{n}" for n in range(40)]
+    write(0, [(j, "queued") for j in jobs])
+    run()
+    write(1, [("job3", "processing"), ("new", "queued")])
+    run()
+    write(2, [("job3", "completed")])
+    run()
+    found = {r.job_id: r.status for r in service.read_status(spark, str(table)).collect()}
+    assert found == {j: "queued" for j in jobs} | {"job3": "completed", "new": "queued"}
+    assert service.read_status(spark, str(table)).count() == 41
+    assert {r.job_id: r.status for r in service.read_status(spark, str(table), 2).collect()}["job3"] == "processing"
+    assert [len(list((table / f"version={k}").glob("bucket=*"))) for k in (0, 2)] == [8, 1]
+
+
 def test_intake_feeds_worker(spark, tmp_path):
     """A photo, two requests for it (one of them twice, in two batches), bands, sheets and PDF."""
     photos, drop = tmp_path / "photos", tmp_path / "requests"
