@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platen.llm import textbytes as tb
-from platen.llm.shared import small_batches
+from platen.llm.shared import small_batches, stored
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: Words that a worker remembers before it starts anew; they are forgotten at the end of a task.
@@ -39,6 +39,8 @@ MEMO = 200_000
 STEP = 1 << 20
 #: Digests that a task remembers while it looks for repeats.
 SEEN = 1 << 20
+#: A digest with more than one row in so many is hot; the partitions that its rows are dealt over.
+HOT, SALTS = 1000, 64
 
 # What a tokenizer file says if its counts do not depend on white space and letter case.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -219,20 +221,33 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     return spark.read.schema(CACHE).parquet(cache)
 
 
+def _counted(keys: DataFrame, counts: DataFrame) -> DataFrame:
+    """keys with the n_tokens of their digests.
+
+    The rows of a digest that has over 1/``HOT`` of all rows (there are fewer than
+    ``HOT`` such digests) are dealt over ``SALTS`` partitions, with a copy of its count in each.
+    """
+    every = keys.count()
+    hot = F.broadcast(keys.groupBy("content_digest").agg(F.count("*").alias("many")).where(F.col("many") * HOT > every).select("content_digest", F.lit(True).alias("hot")))
+    place = F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(SALTS)).cast("int")
+    dealt = keys.withColumn("place", place).join(hot, "content_digest", "left").withColumn("salt", F.when(F.col("hot"), F.col("place")).otherwise(0))
+    copies = counts.join(hot, "content_digest", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.drop("hot").join(copies.drop("hot"), ["content_digest", "salt"])
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str) -> DataFrame:
     """documents -> (doc_id, n_bytes, content_digest, tokenizer_digest, n_tokens).
 
     The text of a digest is shuffled once, and only if it is a miss; the final
-    join carries digests and numbers and is a plain equi-join that Spark splits
-    where a digest is hot.
+    join carries digests and numbers (``_counted``).
     """
     small_batches(docs.sparkSession)
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
     texts = docs.select("text").mapInArrow(_distinct_texts(tokenizer_path), "content_digest binary, text string")
-    stored = read_cache(spark, cache).where(F.col("tokenizer_digest") == version)
+    known = read_cache(spark, cache).where(F.col("tokenizer_digest") == version)
     # Equal digests meet in one partition, where the encoder takes the first of each.
-    misses = texts.join(stored, "content_digest", "left_anti").repartition("content_digest").sortWithinPartitions("content_digest")
+    misses = texts.join(known, "content_digest", "left_anti").repartition("content_digest").sortWithinPartitions("content_digest")
     misses.mapInArrow(_encode(tokenizer_path, version), CACHE).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     keys = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_keys(tokenizer_path), "doc_id long, n_bytes long, content_digest binary")
-    return keys.join(counts, "content_digest").select("doc_id", "n_bytes", "content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens")
+    return _counted(stored(keys, "token-keys"), counts).select("doc_id", "n_bytes", "content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens")

@@ -133,6 +133,16 @@ def test_counts_of_other_tokenizers(spark, name):
     assert [rows[k] for k in range(len(texts))] == want
 
 
+def test_counts_where_one_text_is_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "HOT", 10)
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), [*corpus(4, 12), *["Once more, the same text."] * 20, *[None] * 10]
+    ids = [None if k % 9 == 0 else k // 2 for k in range(len(texts))]
+    library = Tokenizer.from_file(path)
+    want = sorted((i or -1, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in zip(ids, texts, strict=True))
+    counted = token_counts.count_tokens(docs_of(spark, texts, ids), path, shared.shared_path(spark, "cache"))
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in counted.collect()) == want
+
+
 def test_two_runs_share_a_cache(spark, tmp_path, sf_dir, monkeypatch):
     from platen.llm import queries
 
