@@ -150,7 +150,10 @@ def media_columns(docs: DataFrame) -> DataFrame:
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for stored in _store(batches):
-            for printed in _print(iter([stored])):
-                yield pa.RecordBatch.from_arrays([*stored.columns, *printed.columns[1:]], names=[*stored.schema.names, *printed.schema.names[1:]])
+            at = 0
+            for printed in _print(iter([stored])):  # stored bytes are longer than texts, so these may be several slices
+                part = stored.slice(at, printed.num_rows)
+                at += printed.num_rows
+                yield pa.RecordBatch.from_arrays([*part.columns, *printed.columns[1:]], names=[*stored.schema.names, *printed.schema.names[1:]])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(both, STORED + PRINTED.removeprefix("doc_id long"))

@@ -1,5 +1,6 @@
 """Repeated ids, clashing names, busy keys and other tokenizers, each against a brute-force version."""
 
+import hashlib
 import random
 import zlib
 
@@ -268,3 +269,15 @@ def test_long_texts_in_small_slices():
     batch = pa.record_batch({"doc_id": [1, 2, 3], "text": ["a" * 3_000_000, None, "b c"]})
     lengths = [part.num_rows for part, _, _ in __import__("platen.llm.textbytes", fromlist=["slices"]).slices(batch)]
     assert lengths == [1, 2]
+
+
+def test_media_of_many_texts_in_one_batch(spark):
+    """Texts that fill one slice, whose stored bytes fill more than one."""
+    texts = [f"text {k} " * (3 * (k % 50) + 1) for k in range(1000)]
+    docs = docs_of(spark, texts).coalesce(1)
+    rows = {r.doc_id: r for r in media.media_columns(docs).drop("fp_time", "fp_hash").collect()}
+    assert len(rows) == len(texts)
+    for k in range(0, len(texts), 7):
+        data = texts[k].encode()
+        full = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        assert media.samples_of(rows[k].media) == full and rows[k].n_bytes == len(data) and rows[k].payload_sha256 == hashlib.sha256(full).hexdigest()
