@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm import bpe, line_dedup, media, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts, toxicity
+from platen.llm import bpe, language, line_dedup, media, mixing, ngram_join, quality, repair, secrets, spelling, suffix_dedup, token_counts, toxicity
 from platen.llm.shared import shared_path
 
 TOKEN_LIMIT = 2048
@@ -102,7 +102,22 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_token_counts, op5_mixing, op5_mixing_copies, op6_byte_bpe, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_media_columns)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), F.coalesce("nearest", F.lit(language.UNKNOWN)).alias("lang_pred"), "score", "rejected")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.counted(spelling.misspelt(spelling.occurrences(table(spark, sf_dir, "documents")))))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_structure(repair.damaged(table(spark, sf_dir, "conversations")), copies="copies")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_token_counts, op5_mixing, op5_mixing_copies, op6_byte_bpe, op7_suffix_dedup, op8_line_dedup, op9_toxicity, op10_media_columns, op11_language_id, op12_spelling_variants, op13_conversation_repair)}
 ORACLES: dict[str, str] = {
+    "op12_spelling_variants": spelling.spelling_sql(),
     "op5_mixing": mixing.sql() + "\nSELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, sampled FROM mixed",
 }
