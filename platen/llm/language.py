@@ -42,6 +42,8 @@ from platen.llm.shared import small_batches, stored
 N, SLOTS, CENTROIDS, EXAMPLES = 4, 1 << 14, 4, 512
 #: Numbers in the broadcast centroids, at most (4 bytes each).
 CELLS = 1 << 26
+#: Languages whose sizes are broadcast, at most.
+LANGUAGES = 1 << 14
 OUTSIDE, SLACK, ROUNDS = 0.01, 0.5, 12
 UNKNOWN = "und"
 #: Texts that are compared together; code points of a text that are hashed together.
@@ -176,7 +178,9 @@ def examples(learn: DataFrame, limit: int = EXAMPLES) -> DataFrame:
     Only hashes below a bound are gathered, about twice the limit of each language, so no group grows with the table.
     """
     key = F.xxhash64("text")
-    sizes = learn.groupBy("lang").agg(F.approx_count_distinct(key).alias("n_texts"))
+    sizes = stored(learn.groupBy("lang").agg(F.approx_count_distinct(key).alias("n_texts")), "sizes")
+    if sizes.limit(LANGUAGES + 1).count() <= LANGUAGES:
+        sizes = F.broadcast(sizes)  # a row for each language; else texts would be shuffled by language
     place = (F.shiftrightunsigned(key, 11) / float(1 << 53)).alias("place")
     few = learn.join(sizes, "lang").select("lang", "text", place, (2.0 * limit / F.greatest("n_texts", F.lit(1))).alias("bound")).where("place <= bound")
     once = few.groupBy("lang", "place").agg(F.min("text").alias("text"))
@@ -220,11 +224,11 @@ def fit(docs: DataFrame, limit: int = EXAMPLES, centroids: int = CENTROIDS) -> C
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         counts, lettered = counts_of(tb.text_array(pa.array(group["text"], pa.large_string())), slots)
         vectors = unit_vectors(counts[lettered], shared.value)
-        found = clustered(vectors, centroids) if len(vectors) else np.zeros((0, slots), np.float32)
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]] * len(found), "vector": [v.astype("<f4").tobytes() for v in found]})
+        found = [v.astype("<f4").tobytes() for v in clustered(vectors, centroids)] if len(vectors) else [None]
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]] * len(found), "vector": found})
 
     # A group is at most ``limit`` texts; what comes back is ``centroids`` vectors of each language.
-    made = sample.where("not held").groupBy("lang").applyInPandas(cluster, "lang string, vector binary").toPandas()
+    made = sample.where("not held").groupBy("lang").applyInPandas(cluster, "lang string, vector binary").where("vector is not null").toPandas()
     made = made.assign(key=made["lang"].map(lambda x: x.encode())).sort_values(["key", "vector"])
     languages = sorted(set(made["lang"]), key=str.encode)
     owner = np.searchsorted(np.array([x.encode() for x in languages], object), made["key"].to_numpy()) if languages else np.zeros(0, np.int64)
