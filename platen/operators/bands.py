@@ -1,27 +1,31 @@
-"""Sheet composition by bands: one row for each sheet and 64 lines, so no task ever holds a sheet.
+"""Sheet composition by bands: rows of 64 lines, so no task ever holds more than a few of them.
 
-Tiles are rendered once for each (frame, cell size, mode, background) and joined
-to the cells of the bands that they overlap; a band paints its layers in order:
-background, tiles, border, bleed, crop marks.
+Tiles are rendered once for each (frame, cell size, mode, background), each from
+the source lines that it shows, and joined once to the sheets that show them. A
+sheet is laid out as places in its tile: background, cells, border, bleed and crop
+marks are painted as numbers once for a geometry, and every sheet of that geometry
+takes its pixels by them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.functions import gates
 from platen.operators import geometry, jobs as job_ops
-from platen.operators.pixels import as_array, resize_array
+from platen.operators.pixels import as_array, axis_places, resample, resize_array
 
 LINES = 64
 BANDS = "job_id {}, band long, y0 long, width long, h int, data binary"  # by the type of the jobs' ids
 TILES = "frame_id long, cell_w long, cell_h long, mode int, bg long, tile binary"
-SHEET = ("page_w", "page_h", "gap", "border_px", "bleed_px", "crop_mark_px", "crop_thickness", "crop_offset_px", "bg_sig")
+SHEET = ("page_w", "page_h", "gap", "border_px", "bleed_px", "crop_mark_px", "crop_thickness", "crop_offset_px")
+#: Bytes of an output batch; pixels of a sheet that are laid out at a time (bands of a wider one go one by one).
+OUT, AREA = 1 << 23, 1 << 20
 
 
 def tile_array(image: np.ndarray, cell_w: int, cell_h: int, mode: int, bg: int) -> np.ndarray:
@@ -31,143 +35,220 @@ def tile_array(image: np.ndarray, cell_w: int, cell_h: int, mode: int, bg: int)
     if mode == 1:
         s = max(sx, sy)
         sw, sh = max(int(np.float32(w) * s), cell_w), max(int(np.float32(h) * s), cell_h)
-        x, y = (sw - cell_w) // 2, (sh - cell_h) // 2
-        return resize_array(image, sw, sh)[y : y + cell_h, x : x + cell_w]
+        return resample(image, axis_places(w, sw, (sw - cell_w) // 2, cell_w), axis_places(h, sh, (sh - cell_h) // 2, cell_h))
     s = min(sx, sy)
     sw, sh = (min(max(int(np.float32(a) * s), 1), c) for a, c in ((w, cell_w), (h, cell_h)))
+    return letterboxed(resize_array(image, sw, sh), cell_w, cell_h, (cell_w - sw) // 2, (cell_h - sh) // 2, bg)
+
+
+def letterboxed(image: np.ndarray, cell_w: int, cell_h: int, x: int, y: int, bg: int) -> np.ndarray:
+    if image.shape[:2] == (cell_h, cell_w):
+        return image
     out = np.empty((cell_h, cell_w, 3), np.uint8)
     out[:] = (bg >> 16 & 255, bg >> 8 & 255, bg & 255)
-    x, y = (cell_w - sw) // 2, (cell_h - sh) // 2
-    out[y : y + sh, x : x + sw] = resize_array(image, sw, sh)
+    out[y : y + image.shape[0], x : x + image.shape[1]] = image
     return out
 
 
+def tile_windows(frames: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Tile keys over frames -> scaled size, the window of it that the tile shows, and the source lines ``first``.. of that window alone.
+
+    A filled tile (mode 1) shows the centre of the scaled photo, so the lines that it
+    is made of are cut from the frame before anything else is done; what a tile costs
+    does not depend on the frame's length. A fitted one shows all of it.
+    """
+    size = {"src_w": F.col("width").cast("long"), "src_h": F.col("height").cast("long")}
+    joined = tiles.join(frames.where("width > 0 and height > 0 and data is not null"), "frame_id").withColumns(size)
+    names = ("scaled_w", "scaled_h", "off_x", "off_y")
+    filled = geometry.fill_window(joined).withColumn("_fill", F.struct(*names)).drop(*names)
+    both = geometry.fit_letterbox(filled).withColumn("_fit", F.struct(*names)).drop(*names)
+    fills = F.col("mode") == 1
+    chosen = both.select(*joined.columns, F.when(fills, F.col("_fill")).otherwise(F.col("_fit")).alias("_w")).select(*joined.columns, "_w.*")
+    step = F.when((F.col("src_h") > 1) & (F.col("scaled_h") > 1), F.call_function("div", F.shiftleft(F.col("src_h") - 1, 16), F.col("scaled_h") - 1)).otherwise(0)
+    top, bottom = (F.col("off_y"), F.col("off_y") + F.col("cell_h") - 1)
+    first = F.when(fills, F.shiftright(top * step, 16)).otherwise(0).cast("long")
+    last = F.when(fills, F.least(F.shiftright(bottom * step, 16) + 1, F.col("src_h") - 1)).otherwise(F.col("src_h") - 1)
+    cut = chosen.withColumns({"first": first, "n_lines": last - first + 1})
+    lines = F.expr("substring(data, cast(first * stride + 1 as int), cast(n_lines * stride as int))")
+    return cut.select("frame_id", "cell_w", "cell_h", "mode", "bg", "src_w", "src_h", "stride", *names, "first", "n_lines", lines.alias("data"))
+
+
 def make_tiles(frames: DataFrame, tiles: DataFrame) -> DataFrame:
     """(frame_id, cell_w, cell_h, mode, bg) keys and frames -> rendered tiles."""
+    kinds = {"frame_id": pa.int64(), "cell_w": pa.int64(), "cell_h": pa.int64(), "mode": pa.int32(), "bg": pa.int64()}
+
+    def one(frame_id, cell_w, cell_h, mode, bg, src_w, src_h, stride, scaled_w, scaled_h, x, y, first, n_lines, data) -> bytes:
+        image = as_array(data, src_w, n_lines, stride)
+        if mode != 1:
+            return letterboxed(resize_array(image, scaled_w, scaled_h), cell_w, cell_h, x, y, bg).tobytes()
+        y0, y1, fy = axis_places(src_h, scaled_h, y, cell_h)
+        return resample(image, axis_places(src_w, scaled_w, x, cell_w), (y0 - first, y1 - first, fy)).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                rows = batch.slice(at, 64).to_pylist()
-                made = [tile_array(as_array(r["data"], r["width"], r["height"], r["stride"]), r["cell_w"], r["cell_h"], r["mode"], r["bg"]).tobytes() for r in rows]
-                keys = [pa.array([r[k] for r in rows], t) for k, t in (("frame_id", pa.int64()), ("cell_w", pa.int64()), ("cell_h", pa.int64()), ("mode", pa.int32()), ("bg", pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(made, pa.binary())], names=["frame_id", "cell_w", "cell_h", "mode", "bg", "tile"])
+            made, held, start = [], 0, 0
+            values = [batch.column(c).to_pylist() for c in batch.schema.names[:-1]]
+            for k, (*row, data) in enumerate(zip(*values, batch.column("data"), strict=True)):
+                made.append(one(*row, data.as_buffer()))
+                held += len(made[-1])
+                if held >= OUT or k == batch.num_rows - 1:
+                    part = batch.slice(start, len(made))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).cast(t) for c, t in kinds.items()), pa.array(made, pa.binary())], names=[*kinds, "tile"])
+                    made, held, start = [], 0, k + 1
 
-    joined = tiles.join(frames.where("width > 0 and height > 0"), "frame_id")
-    return joined.select("frame_id", "cell_w", "cell_h", "mode", "bg", "width", "height", "stride", "data").mapInArrow(run, TILES)
+    return tile_windows(frames, tiles).mapInArrow(run, TILES)
 
 
-def _covered(starts: list[int], size: int, ranges: list[tuple[int, int]], origin: int = 0) -> np.ndarray:
-    """Which of ``size`` lines from ``origin`` on lie in one of the ranges, taken from each start."""
-    out = np.zeros(size, bool)
-    for start in starts:
+class Axis:
+    """One axis of a sheet: for each of its lines, the cell row (or column) whose pixels it shows.
+
+    Cells and their bleed reach over equal ranges at equal steps, so the last range
+    that holds a line and the one before it follow from the line's place.
+    """
+
+    def __init__(self, page: int, start: int, n: int, size: int, gap: int, bleed: int):
+        self.page, self.size, self.starts = page, size, start + np.arange(n) * (size + gap)
+        at, step = np.arange(page), max(size + gap, 1)
+        last = np.clip((at - start + bleed) // step, -1, n - 1)
+        place = at - start - last * step
+        self.held = (last >= 0) & (place < size + bleed)
+        self.own = self.held & (place >= 0) & (place < size)  # the last range's cell itself, not its bleed
+        self.more = self.held & (last > 0) & (place + step < size + bleed)  # the range before holds it too
+        self.source, self.before = (np.clip(p, 0, max(size - 1, 0)) for p in (place, place + step))
+
+    def covered(self, ranges: list[tuple[int, int]]) -> np.ndarray:
+        """Which lines lie in one of the ranges, taken from each cell's start."""
+        out = np.zeros(self.page, bool)
         for a, z in ranges:
-            out[max(start + a - origin, 0) : max(start + z - origin, 0)] = True
-    return out
+            at = (self.starts[:, None] + np.arange(a, z)).ravel()
+            out[at[(at >= 0) & (at < self.page)]] = True
+        return out
 
 
-def _sources(starts: list[int], cell: int, bleed: int, size: int, origin: int = 0) -> np.ndarray:
-    """For each line the cell's line that it shows, -1 for none; later cells win."""
-    out = np.full(size, -1)
-    for start in starts:
-        a, z = max(start - bleed - origin, 0), min(start + cell + bleed - origin, size)
-        if a < z:
-            out[a:z] = np.clip(np.arange(a + origin, z + origin) - start, 0, cell - 1)
-    return out
+BACKGROUND, BLACK, PIXELS = range(3)
+
 
+class Layout:
+    """Where each pixel of a sheet comes from: BACKGROUND, BLACK, or PIXELS + its place in the cell.
 
-def _wide_bleed(band: np.ndarray, row: dict, cell: np.ndarray) -> None:
-    """Cells and their bleed where that is wider than the gap and so runs over other cells, in cell order."""
-    w, h, bleed, y0 = row["cell_w"], row["cell_h"], row["bleed_px"], row["y0"]
-    lines, width = band.shape[:2]
-    cells = [(x, y) for y in row["ys"] for x in row["xs"]]
-    for x, y in cells:
-        a, z = max(y - y0, 0), min(y + h - y0, lines)
-        if a < z:
-            band[a:z, x : x + w] = cell[a + y0 - y : z + y0 - y]
-    grown = np.pad(cell, ((bleed, bleed), (bleed, bleed), (0, 0)), mode="edge")
-    ring = np.ones(grown.shape[:2], bool)
-    ring[bleed : bleed + h, bleed : bleed + w] = False
-    for x, y in cells:
-        a, z = max(y - bleed - y0, 0), min(y + h + bleed - y0, lines)
-        left, right = max(x - bleed, 0), min(x + w + bleed, width)
-        if a < z and left < right:
-            part = (slice(a + y0 - y + bleed, z + y0 - y + bleed), slice(left - x + bleed, right - x + bleed))
-            band[a:z, left:right] = np.where(ring[part][..., None], grown[part], band[a:z, left:right])
-
-
-def compose_band(row: dict, tile: np.ndarray | None) -> np.ndarray:
-    """One band from its sheet's values and the rows of cells that reach into it.
-
-    Cells stand in full rows and columns, so where a band's pixel comes from is
-    found for lines and columns apart, and marks are products of lines and columns.
+    Layers in order: cells, their border, bleed (the nearest pixel of the bordered
+    cell; of overlapping bleeds the later cell's, which also covers other cells) and
+    crop marks. Bleed doesn't cover its own cell, so where a pixel's last cell is its
+    own one the bleed of the column before, else of the row before, is on top.
     """
-    y0, lines, width, bg = row["y0"], row["h"], row["page_w"], row["bg_sig"]
-    band = np.empty((lines, width, 3), np.uint8)
-    band[:] = (bg >> 16 & 255, bg >> 8 & 255, bg & 255)
-    w, h, border, bleed = row["cell_w"], row["cell_h"], row["border_px"], row["bleed_px"]
+
+    def __init__(self, page_w, page_h, start_x, start_y, cols, rows, cell_w, cell_h, gap, border, bleed, mark, thick, off):
+        self.x, self.y = Axis(page_w, start_x, cols, cell_w, gap, bleed), Axis(page_h, start_y, rows, cell_h, gap, bleed)
+        self.cell_w, self.border = cell_w, border
+        self.marks = []
+        if mark > 0:
+            long = lambda size: [(-off - mark, -off), (size + off, size + off + mark)]
+            short = lambda size: [(-off - thick, -off), (size + off, size + off + thick)]
+            self.marks = [(self.y.covered(short(cell_h)), self.x.covered(long(cell_w))), (self.y.covered(long(cell_h)), self.x.covered(short(cell_w)))]
+
+    def places(self, top: int, lines: int) -> np.ndarray:
+        """(lines, page_w) of the sheet from line ``top`` on."""
+        x, y, part = self.x, self.y, slice(top, top + lines)
+        out = np.zeros((lines, x.page), np.int32)
+        held, own, more, source, before = (v[part] for v in (y.held, y.own, y.more, y.source, y.before))
+        for down, across, rows, columns in ((held, x.held, source, x.source), (own, x.own & x.more, source, x.before), (own & more, x.own & ~x.more, before, x.source)):
+            if down.any() and across.any():
+                out[np.ix_(down, across)] = self.cell(rows[down], columns[across])
+        for down, across in self.marks:
+            out[np.ix_(down[part], across)] = BLACK
+        return out
+
+
+    def cell(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Places of the bordered cell's pixels at these rows and columns of it."""
+        out = (PIXELS + rows[:, None] * self.cell_w + columns).astype(np.int32)
+        if self.border > 0:
+            out[(rows < self.border) | (rows >= self.y.size - self.border)] = BLACK
+            out[:, (columns < self.border) | (columns >= self.x.size - self.border)] = BLACK
+        return out
+
+
+@lru_cache(maxsize=64)
+def layout(*geometry: int) -> Layout:
+    return Layout(*geometry)
+
+
+def palette(tile: np.ndarray | None, bg: int, n: int) -> np.ndarray:
+    """Colours by place as 32-bit numbers whose low three bytes are red, green and blue; without a tile all but BLACK are the background."""
+    out = np.full(PIXELS + n, (bg >> 16 & 255) | (bg >> 8 & 255) << 8 | (bg & 255) << 16, np.uint32)
+    out[BLACK] = 0
     if tile is not None:
-        cell = tile.copy()
-        if border > 0:
-            cell[:border] = cell[max(h - border, 0) :] = 0
-            cell[:, :border] = cell[:, max(w - border, 0) :] = 0
-        if bleed > row["gap"]:
-            _wide_bleed(band, row, cell)
-        else:
-            down, across = _sources(row["ys"], h, bleed, lines, y0), _sources(row["xs"], w, bleed, width)
-            own = np.ix_(down >= 0, across >= 0)
-            band[own] = cell[np.ix_(down[down >= 0], across[across >= 0])]
-    if row["crop_mark_px"] > 0:
-        off, length, thick = row["crop_offset_px"], row["crop_mark_px"], row["crop_thickness"] or 1
-        long = lambda size: [(-off - length, -off), (size + off, size + off + length)]
-        short = lambda size: [(-off - thick, -off), (size + off, size + off + thick)]
-        band[np.ix_(_covered(row["ys"], lines, short(h), y0), _covered(row["xs"], width, long(w)))] = 0
-        band[np.ix_(_covered(row["ys"], lines, long(h), y0), _covered(row["xs"], width, short(w)))] = 0
-    return band
-
-
-def band_plan(sheets: DataFrame, lines: int = LINES) -> DataFrame:
-    """(job_id, band, y0, h, xs, ys, sheet columns): every band of every sheet with the columns and the rows of cells that reach into it.
-
-    How far a cell reaches: its bleed and its crop marks. The places are generated by
-    the band's own row, so planning stays narrow.
-    """
-    s = sheets.withColumn("band", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(page_h - 1) div {lines}"))))
-    s = s.withColumns({"y0": F.col("band") * lines, "h": F.least(F.lit(lines), F.col("page_h") - F.col("band") * lines).cast("int")})
-    step_x, step_y = F.col("cell_w") + F.col("gap"), F.col("cell_h") + F.col("gap")
-    # Placed rows and columns, and among the rows those that the band can show.
-    fit = lambda n, start, step, size, page: F.when(page - start < size, 0).otherwise(F.least(n, F.call_function("div", page - start - size, step) + 1))
-    s = s.withColumns({"_cols": fit(F.col("cols"), F.col("start_x"), step_x, F.col("cell_w"), F.col("page_w")), "_rows": fit(F.col("rows"), F.col("start_y"), step_y, F.col("cell_h"), F.col("page_h"))})
-    reach = F.greatest("bleed_px", F.when(F.col("crop_mark_px") > 0, F.col("crop_offset_px") + F.greatest("crop_mark_px", "crop_thickness", F.lit(1))).otherwise(0))
-    sequence = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
-    rows = F.filter(F.transform(sequence(F.col("_rows")), lambda r: F.col("start_y") + r * step_y), lambda y: (y - reach < F.col("y0") + F.col("h")) & (y + F.col("cell_h") + reach > F.col("y0")))
-    xs = F.transform(sequence(F.col("_cols")), lambda c: F.col("start_x") + c * step_x)
-    return s.select("job_id", "frame_id", "cell_w", "cell_h", "mode", "band", "y0", "h", *SHEET, xs.alias("xs"), rows.alias("ys"))
+        out[PIXELS:] = tile[:, 0] | tile[:, 1].astype(np.uint32) << 8 | tile[:, 2].astype(np.uint32) << 16
+    return out
+
+
+def sheet_plan(sheets: DataFrame) -> DataFrame:
+    """Sheets -> job_id, the tile's key and all that lays a sheet out; n_cols and n_rows: the columns and rows of cells that are on the page. Narrow."""
+
+    def fit(n: str, start: str, cell: str, page: str):
+        room = F.col(page) - F.col(start) - F.col(cell)
+        return F.when(room < 0, 0).otherwise(F.least(n, F.call_function("div", room, F.col(cell) + F.col("gap")) + 1))
+
+    placed = {"n_cols": fit("cols", "start_x", "cell_w", "page_w"), "n_rows": fit("rows", "start_y", "cell_h", "page_h")}
+    bg = F.when(F.col("mode") == 0, F.col("bg_sig")).otherwise(F.lit(-1).cast("long"))
+    return sheets.withColumns(placed | {"bg": bg}).select("job_id", "frame_id", "cell_w", "cell_h", "mode", "bg", "bg_sig", "start_x", "start_y", "n_cols", "n_rows", *SHEET)
+
+
+GEOMETRY = ["page_w", "page_h", "start_x", "start_y", "n_cols", "n_rows", "cell_w", "cell_h", "gap", "border_px", "bleed_px", "crop_mark_px", "crop_thickness", "crop_offset_px"]
 
 
 def compose_bands(sheets: DataFrame, tiles: DataFrame, lines: int = LINES) -> DataFrame:
     """Sheets with frame_id and tiles -> bands. A sheet without a tile has its background and marks only."""
-    bg = F.when(F.col("mode") == 0, F.col("bg_sig")).otherwise(F.lit(-1).cast("long"))
-    plan = band_plan(sheets, lines).withColumn("bg", bg)
-    joined = plan.join(tiles, ["frame_id", "cell_w", "cell_h", "mode", "bg"], "left")
-    names = ["job_id", "band", "y0", "h", "cell_w", "cell_h", "xs", "ys", "tile", *SHEET]
+    joined = sheet_plan(sheets).join(tiles, ["frame_id", "cell_w", "cell_h", "mode", "bg"], "left")
+    # A sheet without a tile has no border; a thickness of 0 is 1.
+    border = F.when(F.col("tile").isNull(), 0).otherwise(F.col("border_px"))
+    joined = joined.withColumns({"border_px": border, "crop_thickness": F.coalesce(F.nullif("crop_thickness", F.lit(0)), F.lit(1))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 32):
-                rows = batch.slice(at, 32).to_pylist()
-                made = []
-                for r in rows:
-                    tile = None if r["tile"] is None else np.frombuffer(r["tile"], np.uint8).reshape(r["cell_h"], r["cell_w"], 3)
-                    made.append(compose_band(r, tile).tobytes())
-                columns = [pa.array([r[k] for r in rows], t) for k, t in (("band", pa.int64()), ("y0", pa.int64()), ("page_w", pa.int64()), ("h", pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column("job_id").slice(at, 32), *columns, pa.array(made, pa.binary())], names=["job_id", "band", "y0", "width", "h", "data"])
-
-    return joined.select(*names).mapInArrow(run, BANDS.format(dict(sheets.dtypes)["job_id"]))
+            made = _Bands(batch.column("job_id"))
+            values = [batch.column(c).to_pylist() for c in GEOMETRY]
+            for k, (geo, bg, tile) in enumerate(zip(zip(*values, strict=True), batch.column("bg_sig").to_pylist(), batch.column("tile"), strict=True)):
+                own, (width, height, n) = layout(*geo), (geo[0], geo[1], geo[6] * geo[7])
+                colours = palette(np.frombuffer(tile.as_buffer(), np.uint8).reshape(n, 3) if tile.is_valid else None, bg, n)
+                step = max(1, AREA // max(1, width * lines)) * lines
+                for top in range(0, height, step):
+                    part = min(step, height - top)
+                    found = colours[own.places(top, part)]
+                    made.add(k, top, part, width, lines, found.view(np.uint8).reshape(part * width, 4)[:, :3].reshape(-1))
+                    if made.size >= OUT:
+                        yield made.batch()
+            if made.size:
+                yield made.batch()
+
+    return joined.select("job_id", *GEOMETRY, "bg_sig", "tile").mapInArrow(run, BANDS.format(dict(sheets.dtypes)["job_id"]))
+
+
+class _Bands:
+    """Bands gathered for an output batch; a stretch of lines is cut into bands by offsets alone."""
+
+    def __init__(self, ids: pa.Array):
+        self.ids = ids
+        self.clear()
+
+    def clear(self) -> None:
+        self.size, self.data, self.rows = 0, [], []
+
+    def add(self, k: int, top: int, n: int, width: int, lines: int, data: np.ndarray) -> None:
+        self.data.append(data)
+        self.size += len(data)
+        self.rows += [(k, y // lines, y, width, min(lines, top + n - y)) for y in range(top, top + n, lines)]
+
+    def batch(self) -> pa.RecordBatch:
+        k, band, y0, width, h = np.array(self.rows, np.int64).T
+        cuts = np.concatenate([[0], np.cumsum(width * h * 3)]).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(cuts), pa.py_buffer(np.concatenate(self.data))])
+        out = pa.RecordBatch.from_arrays([self.ids.take(pa.array(k)), pa.array(band), pa.array(y0), pa.array(width), pa.array(h.astype(np.int32)), data], names=["job_id", "band", "y0", "width", "h", "data"])
+        self.clear()
+        return out
 
 
 def render_jobs(frames: DataFrame, jobs: DataFrame, lines: int = LINES) -> DataFrame:
     """Jobs (of the right version, with a sane grid) over their frames -> bands: plan, render each tile once, compose."""
-    sheets = geometry.grid_geometry(jobs.where(gates.abi_gate(F.col("abi_version")) == gates.SUCCESS).where("cols > 0 and rows > 0"))
-    sheets = sheets.where(gates.grid_sanity(F.col("cols"), F.col("rows"), F.col("gap"), F.col("cell_w"), F.col("cell_h")) == gates.SUCCESS).withColumn("mode", F.col("mode").cast("int"))
+    sheets = geometry.sane_sheets(jobs)
     return compose_bands(sheets, make_tiles(frames, job_ops.dedupe_tiles(sheets)), lines)

@@ -48,6 +48,17 @@ def grid_geometry(jobs: DataFrame) -> DataFrame:
     return df.drop("_ask_w", "_ask_h", "_max_w", "_max_h", "_gaps_w", "_scale")
 
 
+def sane_sheets(jobs: DataFrame) -> DataFrame:
+    """The sheets of the jobs that may be rendered: of the right version, with a sane grid; mode is an int.
+
+    The generator keeps the gate from being moved into the geometry, whose expressions
+    the optimizer would repeat over and over.
+    """
+    sheets = grid_geometry(jobs.where(gates.abi_gate(F.col("abi_version")) == gates.SUCCESS).where("cols > 0 and rows > 0")).withColumn("mode", F.col("mode").cast("int"))
+    sheets = sheets.select(F.inline(F.array(F.struct(*sheets.columns))))
+    return sheets.where(gates.grid_sanity(F.col("cols"), F.col("rows"), F.col("gap"), F.col("cell_w"), F.col("cell_h")) == gates.SUCCESS)
+
+
 def cell_grid(sheets: DataFrame) -> DataFrame:
     """sheets -> cells in row-major order, with the sheet's columns; also those that leave the page."""
     last = lambda c: F.greatest(F.col(c) - 1, F.lit(0))
@@ -114,14 +125,19 @@ def _rects(cells: DataFrame, layer: int, boxes: list[tuple[Column, Column, Colum
     return out.select("job_id", "layer", "cell_idx", F.col("r.part").alias("part"), F.col("r.rx").alias("x"), F.col("r.ry").alias("y"), F.col("r.rw").alias("w"), F.col("r.rh").alias("h"))
 
 
+def border_boxes() -> list[tuple[Column, Column, Column, Column]]:
+    """Of a cell (x, y, w, h, border_px): top, bottom, left, right."""
+    x, y, w, h, b = (F.col(c) for c in ("x", "y", "w", "h", "border_px"))
+    return [(x, y, w, b), (x, y + h - b, w, b), (x, y, b, h), (x + w - b, y, b, h)]
+
+
 def border_rects(cells: DataFrame) -> DataFrame:
     """Four rectangles inside each cell: top, bottom, left, right."""
-    x, y, w, h, b = (F.col(c) for c in ("x", "y", "w", "h", "border_px"))
-    return _rects(cells.where("border_px > 0"), BORDER, [(x, y, w, b), (x, y + h - b, w, b), (x, y, b, h), (x + w - b, y, b, h)])
+    return _rects(cells.where("border_px > 0"), BORDER, border_boxes())
 
 
-def crop_mark_rects(cells: DataFrame) -> DataFrame:
-    """Eight rectangles outside each cell: at each corner (top-left, top-right, bottom-left, bottom-right) one across and one down."""
+def mark_boxes() -> list[tuple[Column, Column, Column, Column]]:
+    """Of a cell: at each corner (top-left, top-right, bottom-left, bottom-right) one across and one down, outside it."""
     off, length = F.col("crop_offset_px"), F.col("crop_mark_px")
     thick = F.when(F.col("crop_thickness") == 0, 1).otherwise(F.col("crop_thickness"))
     left, right = F.col("x") - off, F.col("x") + F.col("w") + off
@@ -129,7 +145,12 @@ def crop_mark_rects(cells: DataFrame) -> DataFrame:
     boxes = []
     for across_y, down_y in ((top - thick, top - length), (bottom, bottom)):
         boxes += [(left - length, across_y, length, thick), (left - thick, down_y, thick, length), (right, across_y, length, thick), (right, down_y, thick, length)]
-    return _rects(cells.where("crop_mark_px > 0"), MARK, boxes)
+    return boxes
+
+
+def crop_mark_rects(cells: DataFrame) -> DataFrame:
+    """Eight rectangles outside each cell, see ``mark_boxes``."""
+    return _rects(cells.where("crop_mark_px > 0"), MARK, mark_boxes())
 
 
 def clip_rects(rects: DataFrame) -> DataFrame:

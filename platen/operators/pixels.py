@@ -131,23 +131,34 @@ def to_interleaved(planar: DataFrame, width) -> DataFrame:
 # Frames as bytes.
 
 
-def axis_places(src: int, dst: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def axis_places(src: int, dst: int, start: int = 0, size: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both source places of each of the dst places (or of ``size`` of them from ``start`` on) and the second one's weight in 16.16."""
     step = ((src - 1) << 16) // (dst - 1) if src > 1 and dst > 1 else 0
-    pos = np.arange(dst, dtype=np.int64) * step
+    pos = np.arange(start, dst if size is None else start + size, dtype=np.int64) * step
     first = pos >> 16
     return first, np.minimum(first + 1, src - 1), pos & 0xFFFF
 
 
-def resize_array(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """The same rule as ``resize_bilinear`` on a (height, width, 3) array."""
-    x0, x1, fx = axis_places(image.shape[1], width)
-    y0, y1, fy = axis_places(image.shape[0], height)
-    v = image.astype(np.int64)
+Places = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def resample(image: np.ndarray, across: Places, down: Places) -> np.ndarray:
+    """The pixels at the places of both axes, by the rule of ``resize_bilinear``; only lines and columns that they name are read."""
+    x0, x1, fx = across
+    y0, y1, fy = down
+    lines, at = np.unique(np.concatenate([y0, y1]), return_inverse=True)
+    v = image[lines].astype(np.int64) if len(lines) < len(image) else image.astype(np.int64)
+    y0, y1 = (at[: len(y0)], at[len(y0) :]) if len(lines) < len(image) else (y0, y1)
     fx, fy = fx[None, :, None], fy[:, None, None]
     rows = v[:, x0] * (65536 - fx) + v[:, x1] * fx
     return ((rows[y0] * (65536 - fy) + rows[y1] * fy + HALF) >> SHIFT).astype(np.uint8)
 
 
+def resize_array(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The same rule as ``resize_bilinear`` on a (height, width, 3) array."""
+    return resample(image, axis_places(image.shape[1], width), axis_places(image.shape[0], height))
+
+
 def as_array(data: bytes, width: int, height: int, stride: int) -> np.ndarray:
     rows = np.frombuffer(data, np.uint8, count=height * stride).reshape(height, stride)
     return rows[:, : width * 3].reshape(height, width, 3)

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from platen.functions import gates
 from platen.functions.numbers import cm_to_px
-from platen.operators import bands, geometry as geo, jobs, metrics, pipelines, pixels, tables
+from platen.operators import bands, geometry as geo, jobs, layers, metrics, pipelines, pixels, tables
 from platen.plans.fixtures import fixture
-from platen.sources import sinks
+from platen.sources import readers, sheet_files, sinks
 
 C = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: Proof sheets are rendered at this resolution.
+#: Proof sheets are rendered at this resolution; thumbnails, whose every pixel is a row, at that one, in bands of so many lines.
 PROOF_DPI = 10
+THUMB_DPI, THUMB_LINES = 3, 16
 RATE = 1
 
 
@@ -416,25 +417,79 @@ def pipeline_batch(spark, f, ops):
 # Sheets.
 
 
-def _proofs(t, f):
-    """Every job as a proof: its own layout at proof resolution, gap and padding scaled with it, on a frame of the table."""
+def _proofs(t):
+    """Every job as a proof: its own layout at proof resolution, gap and padding scaled with it."""
     scaled = lambda c: F.expr(f"{c} * {PROOF_DPI} div dpi")
     return t.withColumns({"gap": scaled("gap"), "padding": scaled("padding")}).withColumn("dpi", F.lit(PROOF_DPI).cast("long"))
 
 
-@query2("jobs", "frames")
+def _thumbs(t):
+    """Every job as a thumbnail: gap and padding scaled down, border, bleed and marks scaled up to whole pixels, so that none goes."""
+    down = lambda c: F.expr(f"{c} * {THUMB_DPI} div dpi")
+    up = lambda c: F.expr(f"({c} * {THUMB_DPI} + dpi - 1) div dpi")
+    scaled = {c: down(c) for c in ("gap", "padding")} | {c: up(c) for c in ("border_px", "bleed_px", "crop_mark_px", "crop_thickness", "crop_offset_px")}
+    return t.withColumns(scaled).withColumn("dpi", F.lit(THUMB_DPI).cast("long"))
+
+
+@query2("framed_jobs", "frames")
 def sheet_bands(spark, t, f):
     """The flagship of rendering: proof sheets of all jobs in bands; a band by its digest."""
-    out = bands.render_jobs(f, _proofs(t, f))
+    out = bands.render_jobs(f, _proofs(t))
     return out.select("job_id", "band", "y0", "width", "h", F.sha2("data", 256).alias("digest"))
 
 
-@query2("jobs", "frames")
+@query2("framed_jobs", "frames")
 def tile_digests(spark, t, f):
-    sheets = geo.grid_geometry(_proofs(t, f)).withColumn("mode", C("mode").cast("int"))
+    sheets = geo.grid_geometry(_proofs(t)).withColumn("mode", C("mode").cast("int"))
     return bands.make_tiles(f, jobs.dedupe_tiles(sheets)).select("frame_id", "cell_w", "cell_h", "mode", "bg", F.sha2("tile", 256).alias("digest"))
 
 
+@query2("framed_jobs", "frames")
+def sheet_compose(spark, t, f):
+    """Thumbnails of all jobs by layers of rectangles: the same bytes as by painting."""
+    sheets = layers.dealt_sheets(_thumbs(t))
+    out = layers.compose(sheets, bands.make_tiles(f, jobs.dedupe_tiles(sheets)), THUMB_LINES)
+    return out.select("job_id", "band", "y0", "width", "h", F.sha2("data", 256).alias("digest"))
+
+
+@query2("framed_jobs", "raw_frames")
+def job_rgb24(spark, t, raw):
+    """Raw frames from their bytes and dimensions through the raw contract to the thumbnails of all jobs; a job whose frame breaks it gets no photo."""
+    f = readers.read_rgb24(raw.select("frame_id", "content"), raw.select("frame_id", "width", "height", "stride"))
+    out = bands.render_jobs(f, _thumbs(t), THUMB_LINES)
+    return out.select("job_id", "band", "y0", "width", "h", F.sha2("data", 256).alias("digest"))
+
+
+@query2("framed_jobs", "frames")
+def pdf_export(spark, t, f):
+    """Thumbnails of all jobs as PDF files, band by band, and their images as read back from the files."""
+    thumbs = _thumbs(t)
+    return sheet_files.pdf_images(sheet_files.pdf_chunks(bands.render_jobs(f, thumbs, THUMB_LINES), thumbs))
+
+
+def _covered(t, layer):
+    """The pixels of a layer on the thumbnails, by lines."""
+    top = layers.top_layers(layers.layer_rects(layers.dealt_sheets(_thumbs(t)), {layer}))
+    return top.groupBy("job_id", "y").agg(F.count("*").alias("n"), F.sum(C("x") + 1).alias("digest"))
+
+
+@query("jobs")
+def sheet_border(spark, t):
+    return _covered(t, geo.BORDER)
+
+
+@query("jobs")
+def sheet_marks(spark, t):
+    return _covered(t, geo.MARK)
+
+
+@query("jobs")
+def sheet_bleed(spark, t):
+    """Whose bleed is on top on the thumbnails and what it shows, by lines."""
+    found = layers.bleed_pixels(layers.dealt_sheets(_thumbs(t)))
+    return found.groupBy("job_id", "y").agg(F.count("*").alias("n"), F.sum((C("x") + 1) * (C("cell_idx") + 1)).alias("owners"), F.sum((C("x") + 1) * (C("place") + 2)).alias("digest"))
+
+
 def _tiles(f, mode, bg):
     """A small tile of every frame, by its lines."""
     keys = f.select("frame_id", F.lit(6).cast("long").alias("cell_w"), (4 + C("frame_id") % 3).alias("cell_h"), F.lit(mode).alias("mode"), bg.alias("bg"))

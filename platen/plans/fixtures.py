@@ -7,7 +7,8 @@ line filled up with zeros.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from platen.operators.pixels import frames_to_pixels
 
@@ -48,6 +49,9 @@ SQL = {
     "binlog": """SELECT event_id * 1000 AS ts, CAST(1 + event_id % 4 AS INT) AS event_id, CAST(user_id % 128 AS INT) AS cpu,
   CAST(round(value * 1000) AS BIGINT) AS arg0, user_id AS arg1, CAST(0 AS BIGINT) AS arg2 FROM events""",
     "spans": """SELECT CAST(user_id AS STRING) AS trace_id, event_type AS name, event_id * 1000000 AS start_ns, event_id * 1000000 + CAST(round(value * 1000000) AS BIGINT) AS end_ns FROM events""",
+    "raw_frames": """SELECT frame_id, width, CASE WHEN frame_id % 3 = 0 THEN CAST(0 AS BIGINT) ELSE st END AS stride, (octet_length(raw) + st - 1) div st AS height,
+  CASE WHEN frame_id % 6 = 5 THEN raw ELSE rpad(raw, CAST((octet_length(raw) + st - 1) div st * st AS INT), X'00') END AS content
+  FROM (SELECT doc_id AS frame_id, CAST(4 + doc_id % 5 AS BIGINT) AS width, CAST(CASE WHEN doc_id % 3 = 0 THEN (4 + doc_id % 5) * 3 ELSE 12 + doc_id % 7 * 2 END AS BIGINT) AS st, encode(text, 'utf-8') AS raw FROM documents WHERE text IS NOT NULL)""",
     "frames": """SELECT doc_id AS frame_id, 8 AS width, CAST((octet_length(encode(text, 'utf-8')) + 23) div 24 AS INT) AS height, 3 AS channels, 24 AS stride,
   rpad(encode(text, 'utf-8'), CAST((octet_length(encode(text, 'utf-8')) + 23) div 24 * 24 AS INT), X'00') AS data FROM documents WHERE octet_length(encode(text, 'utf-8')) > 0""",
 }
@@ -56,14 +60,34 @@ DIALECT = {
   encode(text) || unhex(repeat('00', CAST((24 - octet_length(encode(text)) % 24) % 24 AS INT))) AS data FROM documents WHERE octet_length(encode(text)) > 0""",
     "pixels": """SELECT frame_id, CAST(i // 24 AS INT) AS y, CAST((i % 24) // 3 AS INT) AS x, CAST(i % 3 AS INT) AS c, CAST('0x' || substr(h, 2 * i + 1, 2) AS INT) AS v
   FROM (SELECT doc_id AS frame_id, hex(encode(text)) || repeat('0', 46) AS h, unnest(range(0, ((octet_length(encode(text)) + 23) // 24) * 24)) AS i FROM documents)""",
+    "framed_jobs": f"""SELECT j.* REPLACE (f.frame_id AS frame_id) FROM ({SQL["jobs"]}) j
+  JOIN (SELECT doc_id AS frame_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM documents WHERE octet_length(encode(text)) > 0 AND doc_id IS NOT NULL) f ON f.idx = j.frame_id % f.n""",
 }
+#: Frames that are numbered within one bucket of ids.
+BUCKET = 4096
 _TABLES = ("orders", "lineitem", "events", "documents", "conversations")
 
 
+def framed_jobs(jobs: DataFrame, frames: DataFrame) -> DataFrame:
+    """Jobs on frames that are there: a job's frame number, modulo how many frames there are, among the frames in the order of their ids.
+
+    Frames are counted by buckets of ids and numbered within them, so no task sorts them all.
+    """
+    ids = frames.where("frame_id is not null").select("frame_id", F.floor(F.col("frame_id") / BUCKET).alias("_bucket"))
+    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    below = ids.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_below"))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy("frame_id"))
+    numbered = ids.join(below, "_bucket").select("frame_id", (F.col("_below") + within - 1).alias("_idx"))
+    n = F.nullif(ids.agg(F.count("*")).scalar(), F.lit(0))
+    return jobs.withColumn("_idx", F.col("frame_id") % n).drop("frame_id").join(numbered, "_idx").select(jobs.columns)
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table; only the columns that a query asks for are read."""
     if name == "pixels":
         return frames_to_pixels(fixture(spark, sf_dir, "frames"))
+    if name == "framed_jobs":
+        return framed_jobs(fixture(spark, sf_dir, "jobs"), fixture(spark, sf_dir, "frames"))
     sql = SQL[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if f"FROM {t}" in sql}
     for t in used:
