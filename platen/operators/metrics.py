@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platen.functions.numbers import idiv
@@ -38,15 +38,22 @@ def _bucket(ns: Column) -> Column:
     return F.when(ns < 0, F.lit(-1).cast("long")).otherwise(bits * F.lit(2048).cast("long") + F.call_function("shiftright", ns, F.greatest(bits - 11, F.lit(0))))
 
 
-def _stats(samples: DataFrame, by: list[str], places: dict[str, Column], avg: Column) -> DataFrame:
+def counted_values(samples: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ns, c, _bucket): how often each value occurs. Tables of this form merge by adding c."""
+    return samples.groupBy(*by, "ns").agg(F.count("*").alias("c")).withColumn("_bucket", _bucket(F.col("ns")))
+
+
+def bucket_histogram(values: DataFrame, by: list[str]) -> DataFrame:
+    """``counted_values`` -> (by, _bucket, n, total, min_ns, max_ns). Tables of this form merge exactly: sums are added, bounds are taken."""
+    return values.groupBy(*by, "_bucket").agg(F.sum("c").alias("n"), F.sum(F.col("ns") * F.col("c")).alias("total"), F.min("ns").alias("min_ns"), F.max("ns").alias("max_ns"))
+
+
+def _ranked(values: DataFrame, buckets: DataFrame, by: list[str], places: dict[str, Column], avg: Column) -> DataFrame:
     """Totals of each group and its values at the places (from 0).
 
-    Equal values are counted, buckets of near values summed, and only the buckets
-    that hold a wanted place are ranked value by value; so no task sorts a group.
+    Only the buckets that hold a wanted place are ranked value by value; so no task
+    sorts a group, and of stored values only those buckets are read.
     """
-    values = samples.groupBy(*by, "ns").agg(F.count("*").alias("c")).withColumn("_bucket", _bucket(F.col("ns")))
-    totals = [F.sum("c").alias("n"), F.sum(F.col("ns") * F.col("c")).alias("total"), F.min("ns").alias("min_ns"), F.max("ns").alias("max_ns")]
-    buckets = values.groupBy(*by, "_bucket").agg(*totals)
     group = Window.partitionBy(*by)
     whole = {"_n": F.sum("n"), "_total": F.sum("total"), "_min": F.min("min_ns"), "_max": F.max("max_ns")}
     upto = F.sum("n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -60,12 +67,46 @@ def _stats(samples: DataFrame, by: list[str], places: dict[str, Column], avg: Co
     return picks.withColumn("avg_ns", avg)
 
 
+def _stats(samples: DataFrame, by: list[str], places: dict[str, Column], avg: Column) -> DataFrame:
+    values = counted_values(samples, by)
+    return _ranked(values, bucket_histogram(values, by), by, places, avg)
+
+
+def store_part(samples: DataFrame, by: list[str], path: str, part: str) -> None:
+    """A part (say, a day) of the samples as counted values, sorted by bucket, and their histogram; a part that is stored again replaces itself."""
+    target = f"{path}/values/part={part}"
+    counted_values(samples, by).repartitionByRange("_bucket").sortWithinPartitions("_bucket", *by, "ns").write.mode("overwrite").parquet(target)
+    bucket_histogram(samples.sparkSession.read.parquet(target), by).write.mode("overwrite").parquet(f"{path}/histogram/part={part}")
+
+
+def stored_latency_stats(spark: SparkSession, path: str, by: list[str], parts: list[str] | None = None) -> DataFrame:
+    """``latency_stats`` of all stored parts (or of some): histograms are merged, and values are read and merged only in the buckets that hold a wanted rank."""
+
+    def chosen(kind: str) -> DataFrame:
+        table = spark.read.option("basePath", f"{path}/{kind}").parquet(f"{path}/{kind}")
+        return table if parts is None else table.where(F.col("part").cast("string").isin(parts))
+
+    merged = chosen("histogram").groupBy(*by, "_bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("min_ns").alias("min_ns"), F.max("max_ns").alias("max_ns"))
+    values = chosen("values").groupBy(*by, "_bucket", "ns").agg(F.sum("c").alias("c"))
+    return _latency(_ranked(values, merged, by, _nearest_ranks(), _average()), by)
+
+
+def _nearest_ranks() -> dict[str, Column]:
+    return {f"p{p}_ns": F.floor(F.lit(p / 100) * (F.col("n") - 1) + 0.5) for p in (50, 95, 99)}
+
+
+def _average() -> Column:
+    return (F.col("total").cast("double") / F.col("n").cast("double")).cast("long")
+
+
+def _latency(ranked: DataFrame, by: list[str]) -> DataFrame:
+    rate = F.when(F.col("avg_ns") > 0, F.lit(1e9) / F.col("avg_ns")).otherwise(0.0)
+    return ranked.select(*by, "n", "avg_ns", "p50_ns", "p95_ns", "p99_ns", "min_ns", "max_ns", rate.alias("throughput"))
+
+
 def latency_stats(samples: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, avg_ns, p50_ns, p95_ns, p99_ns, min_ns, max_ns, throughput): place floor(p * (n - 1) + 0.5)."""
-    places = {f"p{p}_ns": F.floor(F.lit(p / 100) * (F.col("n") - 1) + 0.5) for p in (50, 95, 99)}
-    out = _stats(samples, by, places, (F.col("total").cast("double") / F.col("n").cast("double")).cast("long"))
-    rate = F.when(F.col("avg_ns") > 0, F.lit(1e9) / F.col("avg_ns")).otherwise(0.0)
-    return out.select(*by, "n", "avg_ns", "p50_ns", "p95_ns", "p99_ns", "min_ns", "max_ns", rate.alias("throughput"))
+    return _latency(_stats(samples, by, _nearest_ranks(), _average()), by)
 
 
 def decoder_stats(samples: DataFrame, by: list[str]) -> DataFrame:
