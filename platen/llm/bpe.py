@@ -200,8 +200,11 @@ def _pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def decode_ids(ids: np.ndarray, path: str) -> np.ndarray:
-    """The bytes of all ids, one after another."""
+    """The bytes of all ids, one after another; an id outside the vocabulary is an error."""
     blob, starts, lengths = _pieces(path)
+    wrong = (ids < 0) | (ids >= len(lengths))
+    if wrong.any():
+        raise ValueError(f"no such token: {ids[wrong][0]}")
     each = lengths[ids]
     ends = np.cumsum(each)
     where = np.arange(int(ends[-1]) if len(ends) else 0)
@@ -244,8 +247,8 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
                 ids = part.column("ids").fill_null([])
                 flat = ids.flatten().to_numpy(zero_copy_only=False)
                 counts = ids.value_lengths().to_numpy(zero_copy_only=False)
-                sizes = np.concatenate([[0], np.cumsum(_pieces(path)[2][flat])])[np.concatenate([[0], np.cumsum(counts)])]
                 data = decode_ids(flat, path)
+                sizes = np.concatenate([[0], np.cumsum(_pieces(path)[2][flat])])[np.concatenate([[0], np.cumsum(counts)])]
                 decoded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(sizes.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), decoded], names=["doc_id", "ids", "decoded"])
 

@@ -16,8 +16,9 @@ judged on the input. What is left keeps its order.
    each one's partner, so a key makes one pair for a line and never all pairs.
 4. Pairs are verified by edit distance over the lines' texts.
 
-Defined results: null texts stay null; empty lines and lines without a word stay,
-short lines stay without ``short``; rows with a
+Defined results: null texts stay null; empty lines and short lines without a word
+stay, all short lines stay without ``short``; a repeated line of MIN_CHARS or more
+goes also if it has no word (a rule of dashes, blanks); rows with a
 null doc_id are left alone; rows that repeat a doc_id are judged line by line at
 their own positions, so equal rows stay equal; an empty table gives an empty
 result; all columns of the input are returned, whatever their names.

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from platen.llm import bpe, line_dedup, media, mixing, ngram_join, quality, secrets, shared, suffix_dedup, token_counts, toxicity  # noqa: E402
-from tests.llm.test_operators import SCHEMA, brute_components, brute_repeats, corpus, docs_of  # noqa: E402
+from tests.llm.test_operators import BPE, SCHEMA, brute_components, brute_repeats, corpus, docs_of  # noqa: E402
 
 
 def words(seed, n, vocabulary=4000):
@@ -281,3 +281,11 @@ def test_media_of_many_texts_in_one_batch(spark):
         data = texts[k].encode()
         full = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         assert media.samples_of(rows[k].media) == full and rows[k].n_bytes == len(data) and rows[k].payload_sha256 == hashlib.sha256(full).hexdigest()
+
+
+def test_ids_outside_the_vocabulary_are_an_error(spark):
+    for wrong in (-1, 10**6):
+        encoded = spark.createDataFrame([(1, [0, wrong])], "doc_id long, ids array<int>")
+        with pytest.raises(Exception, match="no such token"):
+            bpe.bpe_decode(encoded, BPE).collect()
+    assert bpe.bpe_decode(spark.createDataFrame([(1, []), (2, None)], "doc_id long, ids array<int>"), BPE).where("decoded = X''").count() == 2
