@@ -11,8 +11,9 @@ assignments to a secret's name); it leaves out what they don't decide. Some of t
 evidence is among the features too, so such labels teach the forest to extend the
 rules to undecided candidates, not to know better.
 
-Defined results: null and empty texts have no candidates; of overlapping matches,
-what is assigned or a password of an address goes before a run, and the leftmost,
+Defined results: null and empty texts have no candidates (``start`` counts bytes, ``length``
+characters); of overlapping matches,
+what is given to a secret's name or a password of an address goes before a run, and the leftmost,
 longest of each kind counts; each input row is scanned by itself, so repeated rows
 repeat their findings; with findings of one label only (or none), every candidate
 gets that label's probability (0 without any); an empty table gives an empty
@@ -39,11 +40,18 @@ from pyspark.sql import functions as F
 from platen.llm import textbytes as tb
 from platen.llm.shared import small_batches, stored
 
-#: Candidates: what is assigned to a secret's name or stands as the password of an address, whatever its characters; else a run of RUN_LENGTH or more, dotted parts together.
+#: Candidates: what is given to a secret's name (assigned, said, passed as a flag, enclosed in a tag), follows a bearer's mark or stands as the password of an
+#: address, whatever its characters: without blanks from four bytes on, in quotes with blanks too from eight bytes on; else a run of RUN_LENGTH or more, dotted parts together.
 RUN_LENGTH = 14
-NAME = re.compile(rb"(?:token|secret|passw(?:or)?d|passphrase|pwd|credentials?|(?:api|access|private|auth)[_-]?key)[\"'`]?[ \t]{0,8}\Z", re.IGNORECASE)
-SIGN, VALUE = re.compile(rb"[=:]"), re.compile(rb"[ \t]*[\"'`]?([^\s\"'`]{4,})")
-ADDRESS = re.compile(rb"://[^\s:/@]*:([^\s/]+)@")
+_ENDINGS = (b"token", b"secret", b"password", b"passwd", b"passphrase", b"pass", b"pwd", b"credential", b"credentials", b"key")
+NAME = re.compile(rb"[a-z0-9_.-]*(?:token|secret|passw(?:or)?d|passphrase|pwd|credentials?|(?:api|access|private|auth|secret)[_-]?key|[a-z0-9][_-]key|(?<![a-z])pass)\Z")
+SIGN = re.compile(rb":=|=>|[=:]|[ \t](?:is|was)[ \t]")
+VALUE = re.compile(rb"[ \t]*(?:\"([^\"\r\n]{8,128})\"|'([^'\r\n]{8,128})'|`([^`\r\n]{8,128})`|[\"'`]?([^\s\"'`]{4,}))")
+FLAG = re.compile(rb"(?<![A-Za-z0-9-])--?((?:[A-Za-z0-9]+-)*(?:password|passwd|passphrase|pass|pwd|token|secret|key))[ \t]+(?=[^\s-])", re.IGNORECASE)
+TAG = re.compile(rb"<([A-Za-z0-9_.:-]*(?:password|passwd|passphrase|pwd|token|secret|key))>([^<\s]{4,})</", re.IGNORECASE)
+BEARER = re.compile(rb"[Bb](?:earer|EARER)[ \t]+([^\s\"'`<>]{4,})")
+ADDRESS = re.compile(rb"://[^\s:/@]*:([^\s\"'<>]+)@")
+PLAINLY = [((b"://",), ADDRESS, 1), ((b"earer", b"EARER"), BEARER, 1), ((b"</",), TAG, 2)]
 RUN = re.compile(rb"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_=\-](?:\.?[A-Za-z0-9+/_=\-]){%d,}" % (RUN_LENGTH - 1))
 #: Words that the dictionary may have, and the sign of code in a source.
 PLAIN = re.compile(rb"[a-z]{3,}")
@@ -71,6 +79,7 @@ SCHEMA = "doc_id long, start long, finding string, before string, after string,
 _WORD = re.compile(rb"[A-Za-z][A-Za-z0-9]*")
 _SECRET = frozenset(w.encode() for w in SECRET_WORDS)
 _HARMLESS = frozenset(w.encode() for w in HARMLESS_WORDS)
+_GIVEN = re.compile(rb"(?:[=:]>?|[ \t](?:is|was)|[Bb]earer|(?:^|\s)--?[A-Za-z0-9-]+|>)\s*[\"'`]?$")
 _KIND = np.zeros(256, np.int8)
 _KIND[48:58], _KIND[65:91], _KIND[97:123] = 1, 2, 3
 _HEX = frozenset(b"0123456789abcdefABCDEF")
@@ -131,7 +140,7 @@ def describe(run: bytes, before: bytes, after: bytes, source: float, words: Word
         coverage,
         longest,
         float(before[-1:] in (b'"', b"'", b"`") and after[:1] == before[-1:]),
-        float(bool(re.search(rb"[=:]\s*[\"'`]?$", before))),
+        float(bool(_GIVEN.search(before))),
         float(any(w in _SECRET for w in beside)),
         float(any(w in _HARMLESS for w in beside)),
         float(sum(65 <= (c & 0xDF) <= 90 for c in before)) / AROUND,
@@ -141,12 +150,26 @@ def describe(run: bytes, before: bytes, after: bytes, source: float, words: Word
     ]
 
 
+def _value(data: bytes, at: int) -> tuple[int, int] | None:
+    m = VALUE.match(data, at)
+    return m.span(m.lastindex) if m else None
+
+
 def spans_of(data: bytes) -> list[tuple[int, int]]:
-    """Candidates of a text, in order: assigned values and passwords of addresses, and the runs outside them."""
-    marked = {m.span(1) for m in ADDRESS.finditer(data)}
+    """Candidates of a text, in order: given values and passwords of addresses, and the runs outside them and outside the names that they are given to."""
+    marked, names = set(), []
+    for signs, pattern, group in PLAINLY:
+        if any(x in data for x in signs):  # most texts have none, and looking for bytes is quick
+            marked |= {m.span(group) for m in pattern.finditer(data)}
     for sign in SIGN.finditer(data):
-        if NAME.search(data[max(0, sign.start() - 32) : sign.start()]) and (m := VALUE.match(data, sign.end())):
-            marked.add(m.span(1))
+        low = max(0, sign.start() - 64)
+        name = data[low : sign.start()].rstrip(b" \t\"'`]").lower()
+        if name.endswith(_ENDINGS) and (m := NAME.search(name)) and (value := _value(data, sign.end())):
+            marked.add(value)
+            names.append((low + m.start(), low + m.end()))
+    for flag in FLAG.finditer(data) if b" -" in data or b"\n-" in data or data[:1] == b"-" else ():
+        if value := _value(data, flag.end()):
+            marked.add(value)
     marked = sorted(marked, key=lambda s: (s[0], -s[1]))
     first, end = [], 0
     for a, z in marked:
@@ -154,11 +177,12 @@ def spans_of(data: bytes) -> list[tuple[int, int]]:
             first.append((a, z))
             end = z
     out, k = list(first), 0
+    taken = sorted(first + names)
     for m in RUN.finditer(data):
         a, z = m.span()
-        while k < len(first) and first[k][1] <= a:
+        while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if k == len(first) or first[k][0] >= z:
+        if k == len(taken) or taken[k][0] >= z:
             out.append((a, z))
     return sorted(out)
 
@@ -240,7 +264,7 @@ def label_findings(found: DataFrame) -> DataFrame:
     """(doc_id, start, label): 1 for key formats, passwords in addresses and long random values assigned to a secret's name, 0 for cards, addresses, numbers and words; others have none."""
     run, before = F.col("finding"), F.lower("before")
     known = run.rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$") | run.rlike(r"^(ghp|gho|ghs|xox[abp]|sk|pk)[_-][0-9A-Za-z-]{16,}$") | run.rlike(r"^ey[A-Za-z0-9_-]{20,}$")
-    named = before.rlike(r"(token|secret|passw(or)?d|api_?key|access_?key|credential)\s*[=:]\s*[\"'`]?$")
+    named = before.rlike(r"(token|secret|passw(or)?d|passphrase|pwd|[a-z0-9]_?key|credentials?)[\"'`\]]?\s*(:=|=>|[=:]|\s(is|was)\s)\s*[\"'`]?$")
     password = before.rlike(r"://[^\s:/@]*:$") & F.startswith("after", F.lit("@"))
     good = known | password | (named & (F.col("f_entropy") > 3.0) & (F.col("f_length") >= 16))
     number = run.rlike("^[0-9]+$")

@@ -289,3 +289,71 @@ def test_ids_outside_the_vocabulary_are_an_error(spark):
         with pytest.raises(Exception, match="no such token"):
             bpe.bpe_decode(encoded, BPE).collect()
     assert bpe.bpe_decode(spark.createDataFrame([(1, []), (2, None)], "doc_id long, ids array<int>"), BPE).where("decoded = X''").count() == 2
+
+
+GIVEN = {
+    'secret_key = "hunter2!"': ["hunter2!"],
+    "SECRET_KEY=pa$$": ["pa$$"],
+    'pass = "Tr0ub4dor"': ["Tr0ub4dor"],
+    "PASS: hunter22": ["hunter22"],
+    "Authorization: Bearer abc.def": ["abc.def"],
+    "--password hunter2": ["hunter2"],
+    "run -x --api-key abcd9 --verbose": ["abcd9"],
+    "the password is hunter2": ["hunter2"],
+    "ssh_key=abcd9": ["abcd9"],
+    'token := "abcd9"': ["abcd9"],
+    'token => "abcd9"': ["abcd9"],
+    "<password>hunter2</password>": ["hunter2"],
+    "mysql://u:p/w@h": ["p/w"],
+    "encryption_key: zz99": ["zz99"],
+    'passphrase="correct horse battery"': ["correct horse battery"],
+    '{"api_key": "abcd1234"}': ["abcd1234"],
+    "compass: north, monkey: banana, keypad = 1234": [],
+    "a password is": [],
+    "well-known - token": [],
+    "token=abc": [],
+}
+
+
+@pytest.mark.parametrize("text", GIVEN)
+def test_spellings_of_given_secrets(text):
+    data = text.encode()
+    assert [data[a:z].decode() for a, z in secrets.spans_of(data)] == GIVEN[text]
+
+
+def planted_secrets(seed, n):
+    """(text, start, label): one finding in each text, of many kinds; harmless ones stand in the same places."""
+    r = random.Random(seed)
+    word = lambda: r.choice(["river", "green", "paper", "winter", "market", "window", "garden", "yellow", "letter", "number", "people", "summer"])
+    chars = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
+    mixed = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    frames = ['api_key = "{}"', "export SECRET_KEY={}", "password: {}", "curl -H 'Authorization: Bearer {}' host", "tool --token {} --verbose", "postgres://app:{}@db/x", "<password>{}</password>", 'access_token => "{}"', "the password is {}"]
+    good = [lambda: chars(mixed, r.randint(18, 40)), lambda: chars("0123456789abcdef", 40), lambda: chars(mixed + "!$%&*", r.randint(9, 14)), lambda: "ghp_" + chars(mixed, 30)]
+    bad = [word, lambda: word() + "_" + word(), lambda: "<your-" + word() + "-here>", lambda: "None" + r.choice(["", "()"]), lambda: "${" + word().upper() + "}", lambda: "example", lambda: chars("123456789", 4)]
+    out = []
+    for _ in range(n):
+        label = r.random() < 0.5
+        value, frame = r.choice(good if label else bad)(), r.choice(frames)
+        head = " ".join(word() for _ in range(r.randint(0, 12))) + "\n"
+        out.append((head + frame.format(value) + "\n" + word(), len((head + frame.split("{}")[0]).encode()), int(label)))
+    return out
+
+
+def test_planted_secrets_precision_and_recall(spark):
+    rows = planted_secrets(2, 900)
+    docs = docs_of(spark, [t for t, _, _ in rows])
+    labelled = spark.createDataFrame([(k, at, label) for k, (_, at, label) in enumerate(rows) if k % 2], "doc_id long, start long, label int")
+    found = {(x.doc_id, x.start): x.secret for x in secrets.scan(docs, labelled).collect()}
+    held = [(k, at, label) for k, (_, at, label) in enumerate(rows) if k % 2 == 0]
+    assert all((k, at) in found for k, at, label in held if label)  # no planted secret is lost before the forest
+    hits = sum(found.get((k, at), False) for k, at, label in held if label)
+    wrong = sum(found.get((k, at), False) for k, at, label in held if not label)
+    assert hits >= 0.95 * sum(label for _, _, label in held) and hits >= 0.95 * (hits + wrong)
+
+
+def test_repeated_rows_repeat_their_findings(spark):
+    text = 'password = "hunter2!"'
+    rows = secrets.scan(docs_of(spark, [text, text, text], [5, 5, 6])).collect()
+    assert sorted((x.doc_id, x.start, x.finding) for x in rows) == [(5, 12, "hunter2!"), (5, 12, "hunter2!"), (6, 12, "hunter2!")]
+    wide = secrets.scan(docs_of(spark, ["é password = ñandú99"])).first()
+    assert (wide.start, wide.length, wide.finding) == (len("é password = ".encode()), 7, "ñandú99")
