@@ -4,11 +4,15 @@ Training takes at most ``EXAMPLES`` labelled rows, half of each label, those wit
 the smallest hashes of their ids (all of them where there are fewer). The space
 is all terms of the examples; their document frequencies are counted over all
 documents, and a term's idf is raised by how far its share of examples differs
-between the labels ((1 + the root of its chi-square) to the power STRENGTH), so no term is without weight
-and the many that don't go with a label do not drown the others. Each document is compared with all examples through a block-max inverted index: a block's bound
-is the sum over the query's terms of weight times the term's largest weight in
-the block, and blocks are read from the highest bound on until none can reach
-the k-th neighbour, so the neighbours are exact.
+between the labels ((1 + the root of its chi-square) to the power STRENGTH), so no
+term is without weight and the many that don't go with a label do not drown the
+others. Vectors and their cosines are those of this space: terms outside it have no
+part in a text's length. Each document is compared with all examples through a
+block-max inverted index: a block's bound is the sum over the query's terms of
+weight times the term's largest weight in the block. The block of the highest bound
+is read first, then all blocks that may hold an example as near as the k-th that it
+gave, so the neighbours are exact. Prose shares its frequent terms with every block,
+so on such texts few bounds fall below that and most blocks are read.
 
 The neighbours' votes are weighted by their cosine; leave-one-out votes of the
 examples, reweighted to the labels' true shares, fit the calibration.
