@@ -54,8 +54,12 @@ def top_layers(rects: DataFrame) -> DataFrame:
 
 
 def dealt_sheets(jobs: DataFrame) -> DataFrame:
-    """The sheets of jobs that may be rendered, dealt out by job."""
-    return geometry.sane_sheets(jobs).repartition("job_id")
+    """The sheets of jobs that may be rendered, dealt out by job.
+
+    The number of partitions is given, for the rows are narrow here and a thousand times
+    as many pixels later: by their own size they would be put together into few tasks.
+    """
+    return geometry.sane_sheets(jobs).repartition(int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "job_id")
 
 
 def source_place(cell_idx: Column, x: Column, y: Column) -> Column:

@@ -76,8 +76,8 @@ def resize_bilinear(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def resize_nearest(pixels: DataFrame, axis: DataFrame, along: str) -> DataFrame:
     """Copies the pixel at the axis table's first index, along 'x' or 'y'."""
-    places = axis.where(F.col("axis") == along).select("frame_id", F.col("dst").alias("_dst"), F.col("i0").alias("_src"))
-    joined = pixels.join(places, (pixels["frame_id"] == places["frame_id"]) & (pixels[along] == places["_src"])).drop(places["frame_id"])
+    places = axis.where(F.col("axis") == along).select(F.col("frame_id").alias("_frame"), F.col("dst").alias("_dst"), F.col("i0").alias("_src"))
+    joined = pixels.join(places, (F.col("frame_id") == F.col("_frame")) & (F.col(along) == F.col("_src")))
     return joined.select(*(F.col("_dst").cast("int").alias(c) if c == along else F.col(c) for c in ("frame_id", "y", "x", "c", "v")))
 
 
@@ -210,6 +210,60 @@ def point_frames(frames: DataFrame, name: str, amount=0) -> DataFrame:
     return _each_frame(whole, ["amount"], change)
 
 
+def nearest_frames(frames: DataFrame, sizes: DataFrame, along: str) -> DataFrame:
+    """``resize_nearest`` on whole frames, along 'x' or 'y'; sizes: (frame_id, new_w, new_h)."""
+    joined = frames.where("width > 0 and height > 0 and data is not null").join(sizes.where("new_w > 0 and new_h > 0").select("frame_id", "new_w", "new_h"), "frame_id")
+    if along == "x":
+        return _each_frame(joined, ["new_w"], lambda image, r: image[:, axis_places(image.shape[1], r["new_w"])[0]])
+    return _each_frame(joined, ["new_h"], lambda image, r: image[axis_places(image.shape[0], r["new_h"])[0]])
+
+
+def fused_frames(frames: DataFrame, params: DataFrame) -> DataFrame:
+    """``fused_chain`` on whole frames."""
+    joined = frames.where("width > 0 and height > 0 and data is not null").join(params.select("frame_id", "has_gray", "has_bright", F.coalesce("brightness", F.lit(0)).alias("brightness")), "frame_id")
+
+    def change(image: np.ndarray, r: dict) -> np.ndarray:
+        image = image.astype(np.int32) * LUMA[0] >> 8 if r["has_gray"] else image.astype(np.int32)
+        return (np.minimum(image + r["brightness"], 255) if r["has_bright"] else image).astype(np.uint8)
+
+    return _each_frame(joined, ["has_gray", "has_bright", "brightness"], change)
+
+
+def crop_frames(frames: DataFrame, windows: DataFrame) -> DataFrame:
+    """``crop`` on whole frames; windows: (frame_id, cx, cy, cw, ch)."""
+    joined = frames.where("width > 0 and height > 0 and data is not null").join(windows.select("frame_id", "cx", "cy", "cw", "ch"), "frame_id")
+    joined = joined.withColumn("ok", gates.crop_gate(F.col("cx"), F.col("cy"), F.col("cw"), F.col("ch"), F.col("width"), F.col("height")))
+    return _each_frame(joined, ["cx", "cy", "cw", "ch", "ok"], lambda image, r: image[r["cy"] : r["cy"] + r["ch"], r["cx"] : r["cx"] + r["cw"]] if r["ok"] else image)
+
+
+PLANES = "frame_id long, c int, width int, height int, data binary"
+
+
+def planes_of(frames: DataFrame) -> DataFrame:
+    """Frames -> a row of bytes for each channel, as ``to_planar``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for frame_id, width, height, stride, data in zip(*(batch.column(c).to_pylist() for c in ("frame_id", "width", "height", "stride")), batch.column("data"), strict=True):
+                image = as_array(data.as_buffer(), width, height, stride)
+                rows = [{"frame_id": frame_id, "c": c, "width": width, "height": height, "data": image[:, :, c].tobytes()} for c in range(3)]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("frame_id", pa.int64()), ("c", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("data", pa.binary())]))
+
+    some = frames.where("width > 0 and height > 0 and data is not null")
+    return some.select("frame_id", "width", "height", "stride", "data").mapInArrow(run, PLANES)
+
+
+def frames_of_planes(planes: DataFrame) -> DataFrame:
+    """``planes_of`` back to frames; one that lacks a channel goes."""
+    whole = planes.groupBy("frame_id", "width", "height").agg(F.sort_array(F.collect_list(F.struct("c", "data"))).alias("planes")).where("size(planes) = 3")  # three rows
+    flat = whole.select("frame_id", "width", "height", (F.col("width") * 3).alias("stride"), F.concat(*(F.col("planes")[c]["data"] for c in range(3))).alias("data"))
+
+    def change(image: np.ndarray, r: dict) -> np.ndarray:
+        return np.moveaxis(np.ascontiguousarray(image).reshape(3, r["height"], r["width"]), 0, 2)
+
+    return _each_frame(flat, [], change)
+
+
 def line_digests(frames: DataFrame) -> DataFrame:
     """(frame_id, y, n, digest): the bytes of each line of pixels, and their sum weighted by place (from 1)."""
 
@@ -278,14 +332,12 @@ def run_pipeline(frames: DataFrame, ops: DataFrame, lenient: bool = False) -> Da
     its frame as it is in both modes. One by one, an operation's frame function is
     preferred; lenient pipelines go in batches, where its batch function is.
     """
-    spark = frames.sparkSession
-    verdict = pipelines.resolve_strict(ops, pipelines.registry_table(spark))
-    known = pipelines.resolve_lenient(ops, pipelines.registry_table(spark)).select("pipeline_id", "op_index")
-    steps = ops.join(known, ["pipeline_id", "op_index"])
-    if not lenient:
-        steps = steps.join(verdict.where("result = 0").select("pipeline_id"), "pipeline_id")
-    short = ops.groupBy("pipeline_id").agg(F.count("*").alias("ops")).where(F.col("ops") <= MOST).select("pipeline_id")
-    lists = steps.join(short, "pipeline_id", "left_semi").groupBy("pipeline_id").agg(F.array_sort(F.collect_list(F.struct("op_index", "op_code", "brightness", "new_w", "new_h"))).alias("steps"))
+    known = F.broadcast(pipelines.registry_table(frames.sparkSession).select(F.col("op_code").alias("_code")))
+    step = F.when(F.col("_code").isNotNull(), F.struct("op_index", "op_code", "brightness", "new_w", "new_h"))
+    sane = F.bool_and(F.col("op_code").between(1, pipelines.MAX_CODE))
+    # One pass over the operations: of each pipeline its known ones in order, and whether all of them are known and sane.
+    lists = ops.join(known, ops["op_code"] == known["_code"], "left").groupBy("pipeline_id").agg(F.sort_array(F.collect_list(step)).alias("steps"), F.count("*").alias("ops"), (sane & (F.count("*") == F.count("_code"))).alias("whole"))
+    lists = lists.where((F.col("ops") <= MOST) & (F.lit(lenient) | F.col("whole"))).select("pipeline_id", "steps")
     joined = frames.where("width > 0 and height > 0").join(lists, F.col("frame_id") == F.col("pipeline_id"), "left").drop("pipeline_id")
     registry = dict(pipelines.REGISTRY)
 

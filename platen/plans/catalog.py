@@ -343,14 +343,14 @@ def resize_bilinear_batch(spark, f):
     return pixels.line_digests(pixels.resize_frames(f, _sizes(f)))
 
 
-@query2("pixels", "frames")
-def resize_h(spark, p, f):
-    return _lines(pixels.resize_nearest(p, geo.axis_table(_sizes(f)), "x"))
+@query("frames")
+def resize_h(spark, f):
+    return pixels.line_digests(pixels.nearest_frames(f, _sizes(f), "x"))
 
 
-@query2("pixels", "frames")
-def resize_v(spark, p, f):
-    return _lines(pixels.resize_nearest(p, geo.axis_table(_sizes(f)), "y"))
+@query("frames")
+def resize_v(spark, f):
+    return pixels.line_digests(pixels.nearest_frames(f, _sizes(f), "y"))
 
 
 @query("frames")
@@ -388,20 +388,20 @@ def roundtrip_export(spark, f):
     return f.join(back, "frame_id").join(files, "frame_id").select("frame_id", "file_sha256", same.alias("same"))
 
 
-@query2("pixels", "frames", "pipeline_ops")
-def fused_chain(spark, p, f, ops):
-    return _lines(pixels.fused_chain(p, pipelines.fuse_params(ops).withColumnRenamed("pipeline_id", "frame_id")))
+@query2("frames", "pipeline_ops")
+def fused_chain(spark, f, ops):
+    return pixels.line_digests(pixels.fused_frames(f, pipelines.fuse_params(ops).withColumnRenamed("pipeline_id", "frame_id")))
 
 
-@query2("pixels", "frames")
-def crop(spark, p, f):
-    windows = f.select("frame_id", F.lit(1).alias("cx"), (C("frame_id") % 5).alias("cy"), (2 + C("frame_id") % 8).alias("cw"), F.lit(3).alias("ch"), "width", "height")
-    return _lines(pixels.crop(p, windows))
+@query("frames")
+def crop(spark, f):
+    windows = f.select("frame_id", F.lit(1).alias("cx"), (C("frame_id") % 5).alias("cy"), (2 + C("frame_id") % 8).alias("cw"), F.lit(3).alias("ch"))
+    return pixels.line_digests(pixels.crop_frames(f, windows))
 
 
-@query("pixels")
-def planar(spark, p):
-    return _lines(pixels.to_interleaved(pixels.to_planar(p), 8))
+@query("frames")
+def planar(spark, f):
+    return pixels.line_digests(pixels.frames_of_planes(pixels.planes_of(f)))
 
 
 @query2("frames", "pipeline_ops")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platen.functions import gates
 from platen.functions.numbers import little_endian
+from platen.operators.pixels import FRAMES
 
 REQUEST = "job_id string, input string, output string, cols long, rows long, gap long, dpi long, border_px long, padding long, crop_mark_px long, crop_thickness long, bleed_px long, crop_offset_px long, photo_w_cm float, photo_h_cm float"
 #: A request's JSON, whose parameters go by the service's names.
@@ -28,12 +33,17 @@ def read_photos(spark: SparkSession, path: str) -> DataFrame:
     Gray images are repeated over three channels, a fourth channel is left out; the
     header gate and the file gate of ``gates`` apply to the columns that this keeps.
     """
-    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    pairs = F.regexp_extract_all(F.hex("data"), F.lit(".."), F.lit(0))
-    n = F.col("nChannels")
-    rgb = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") * 3 - 1), lambda i: F.element_at("_p", ((i / 3).cast("int") * n + F.when(n == 1, 0).otherwise(2 - i % 3) + 1).cast("int")))
-    framed = image.where("width > 0 and height > 0").withColumn("_p", pairs)
-    return framed.select(F.xxhash64("origin").alias("frame_id"), "width", "height", F.lit(3).alias("channels"), (F.col("width") * 3).alias("stride"), F.unhex(F.array_join(rgb, "")).alias("data"))
+    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").where("width > 0 and height > 0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for frame_id, height, width, n, data in zip(*(batch.column(c).to_pylist() for c in ("frame_id", "height", "width", "nChannels")), batch.column("data"), strict=True):
+                own = np.frombuffer(data.as_buffer(), np.uint8, count=height * width * n).reshape(height, width, n)
+                rgb = own[:, :, 2::-1] if n >= 3 else np.repeat(own[:, :, :1], 3, axis=2)
+                row = {"frame_id": frame_id, "width": width, "height": height, "channels": 3, "stride": width * 3, "data": rgb.tobytes()}
+                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("frame_id", pa.int64()), *((c, pa.int32()) for c in ("width", "height", "channels", "stride")), ("data", pa.binary())]))
+
+    return image.select(F.xxhash64("origin").alias("frame_id"), "height", "width", "nChannels", "data").mapInArrow(run, FRAMES)
 
 
 def read_rgb24(data: DataFrame, dims: DataFrame) -> DataFrame:

@@ -204,3 +204,24 @@ def test_pdf_writer_leaves_nothing_of_a_failed_job(tmp_path):
     failing.abort([gone])
     assert not (tmp_path / gone.folder).exists() and (tmp_path / done.folder).exists()
     assert struct.calcsize("<qiiqqq") == binary.ENTRY.itemsize
+
+
+# Whole frames as bytes against a row for each byte.
+
+
+@pytest.mark.parametrize("name", ["resize_x", "resize_y", "fused", "crop", "planar"])
+def test_frames_as_bytes_equal_pixels_as_rows(spark, frames, name):
+    p = pixels.frames_to_pixels(frames)
+    sizes = frames.select("frame_id", "width", "height", (F.col("frame_id") + 2).cast("int").alias("new_w"), (9 - F.col("frame_id")).cast("int").alias("new_h"))
+    params = spark.createDataFrame([(k, k % 2 == 0, k % 3 == 0, None if k == 3 else 90 * k) for k in range(6)], "frame_id long, has_gray boolean, has_bright boolean, brightness long")
+    windows = frames.select("frame_id", F.lit(1).alias("cx"), F.lit(0).alias("cy"), (F.col("frame_id") + 1).cast("int").alias("cw"), F.lit(2).alias("ch"), "width", "height")
+    forms = {
+        "resize_x": lambda: (pixels.resize_nearest(p, geometry.axis_table(sizes), "x"), pixels.nearest_frames(frames, sizes, "x")),
+        "resize_y": lambda: (pixels.resize_nearest(p, geometry.axis_table(sizes), "y"), pixels.nearest_frames(frames, sizes, "y")),
+        "fused": lambda: (pixels.fused_chain(p, params), pixels.fused_frames(frames, params)),
+        "crop": lambda: (pixels.crop(p, windows), pixels.crop_frames(frames, windows)),
+        "planar": lambda: (p, pixels.frames_of_planes(pixels.planes_of(frames))),
+    }
+    rows, whole = forms[name]()
+    key = lambda df: sorted(map(tuple, df.select("frame_id", "y", "x", "c", "v").collect()))
+    assert key(rows) == key(pixels.frames_to_pixels(whole))
