@@ -8,7 +8,7 @@ joins a chunk only within a shift of one, and of all grams only those at such
 places can join anything. The half that holds the edit is split once more by the
 same rule and its kept part goes into the key too. A key thus holds three quarters
 of a word, and a frequent half, prefix or suffix doesn't bring all its words
-together. Joined pairs are verified character by character.
+together. Joined pairs are verified by their edit distance.
 
 Everything is Spark's own functions. Occurrences are counted before the shuffle;
 keys are 64-bit hashes, so a collision costs a verification and no result.
