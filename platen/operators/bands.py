@@ -107,21 +107,22 @@ class Axis:
     """
 
     def __init__(self, page: int, start: int, n: int, size: int, gap: int, bleed: int):
-        self.page, self.size, self.starts = page, size, start + np.arange(n) * (size + gap)
-        at, step = np.arange(page), max(size + gap, 1)
-        last = np.clip((at - start + bleed) // step, -1, n - 1)
-        place = at - start - last * step
+        self.page, self.size, self.step, self.starts = page, size, size + gap, range(start, start + n * (size + gap), size + gap)
+        at = np.arange(page)
+        last = np.maximum(np.minimum((at - (start - bleed)) // self.step, n - 1), -1)
+        place = at - start - last * self.step
         self.held = (last >= 0) & (place < size + bleed)
         self.own = self.held & (place >= 0) & (place < size)  # the last range's cell itself, not its bleed
-        self.more = self.held & (last > 0) & (place + step < size + bleed)  # the range before holds it too
-        self.source, self.before = (np.clip(p, 0, max(size - 1, 0)) for p in (place, place + step))
+        # The range before holds such a line too, by its bleed, and so shows its cell's last line.
+        self.more = self.own & (last > 0) & (place < bleed - gap)
+        self.source = np.minimum(np.maximum(place, 0), size - 1)
 
     def covered(self, ranges: list[tuple[int, int]]) -> np.ndarray:
         """Which lines lie in one of the ranges, taken from each cell's start."""
         out = np.zeros(self.page, bool)
-        for a, z in ranges:
-            at = (self.starts[:, None] + np.arange(a, z)).ravel()
-            out[at[(at >= 0) & (at < self.page)]] = True
+        for start in self.starts:
+            for a, z in ranges:
+                out[max(start + a, 0) : max(start + z, 0)] = True
         return out
 
 
@@ -150,12 +151,22 @@ class Layout:
         """(lines, page_w) of the sheet from line ``top`` on."""
         x, y, part = self.x, self.y, slice(top, top + lines)
         out = np.zeros((lines, x.page), np.int32)
-        held, own, more, source, before = (v[part] for v in (y.held, y.own, y.more, y.source, y.before))
-        for down, across, rows, columns in ((held, x.held, source, x.source), (own, x.own & x.more, source, x.before), (own & more, x.own & ~x.more, before, x.source)):
-            if down.any() and across.any():
-                out[np.ix_(down, across)] = self.cell(rows[down], columns[across])
+        held, own, more, source = (v[part] for v in (y.held, y.own, y.more, y.source))
+
+        def show(down: np.ndarray, across: np.ndarray, rows: np.ndarray | None, columns: np.ndarray | None) -> None:
+            down, across = np.flatnonzero(down), np.flatnonzero(across)
+            if len(down) and len(across):
+                rows = np.full(len(down), y.size - 1) if rows is None else rows[down]
+                columns = np.full(len(across), x.size - 1) if columns is None else columns[across]
+                out[down[:, None], across] = self.cell(rows, columns)
+
+        show(held, x.held, source, x.source)
+        if x.more.any():
+            show(own, x.more, source, None)
+        if more.any():
+            show(more, x.own & ~x.more, None, x.source)
         for down, across in self.marks:
-            out[np.ix_(down[part], across)] = BLACK
+            out[np.flatnonzero(down[part])[:, None], np.flatnonzero(across)] = BLACK
         return out
 
 
