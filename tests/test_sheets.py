@@ -66,6 +66,27 @@ def test_sheets_wider_than_a_step(spark, frames, monkeypatch):
         assert (pieces == own.places(0, row.page_h)).all() and want[row.job_id].shape == (row.page_h, row.page_w, 3)
 
 
+def test_digests_are_taken_where_bands_are_made(spark, frames):
+    made = spark.createDataFrame(random_jobs(30, 11), JOB).withColumn("note", F.concat(F.lit("n"), "job_id"))
+    data = bands.render_jobs(frames, made, lines=8).withColumn("digest", F.sha2("data", 256)).withColumn("note", F.concat(F.lit("n"), "job_id"))
+    own = bands.render_jobs(frames, made, lines=8, digests=True, beside=("note",))
+    assert own.columns == ["job_id", "band", "y0", "width", "h", "digest", "note"]
+    key = lambda df: sorted(map(tuple, df.select(own.columns).collect()))
+    assert key(own) == key(data)
+
+
+def test_many_sheets_are_laid_out_together():
+    r = np.random.default_rng(5)
+    k = lambda a, z: r.integers(a, z, 40)
+    args = [k(0, 6), k(0, 6), k(0, 5), k(0, 6), k(1, 9), k(1, 9), k(0, 4), k(0, 4), k(0, 9), k(0, 6), k(1, 4), k(0, 5)]
+    many, n = bands.Layouts(37, 41, *args), args[4] * args[5]
+    colours, first = r.integers(0, 1 << 24, int((n + bands.PIXELS).sum())).astype(np.uint32), np.cumsum(n + bands.PIXELS) - n - bands.PIXELS
+    found = many.bytes(8, 25, colours, first).reshape(40, 25, 37, 3)
+    for i in range(40):
+        places = bands.Layout(37, 41, *(int(a[i]) for a in args)).places(8, 25)
+        assert (found[i] == (colours[places + first[i]][..., None] >> np.array([0, 8, 16]) & 255)).all()
+
+
 @pytest.mark.parametrize("size", [(8, 700, 17, 13), (300, 2, 40, 9), (5, 9, 5, 9), (1, 1, 6, 4), (16, 3, 1, 1), (7, 50, 90, 3)])
 def test_a_tile_is_the_window_of_the_scaled_frame(size):
     w, h, cell_w, cell_h = size
