@@ -75,6 +75,19 @@ def test_digests_are_taken_where_bands_are_made(spark, frames):
     assert key(own) == key(data)
 
 
+def test_layers_by_lines_equal_a_row_for_each_pixel(spark):
+    sheets = layers.dealt_sheets(spark.createDataFrame(random_jobs(60, 13), JOB))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    for layer in (geometry.BORDER, geometry.MARK):
+        top = layers.top_layers(layers.layer_rects(sheets, {layer}))
+        assert key(layers.covered_lines(sheets, layer)) == key(top.groupBy("job_id", "y").agg(F.count("*").alias("n"), F.sum(F.col("x") + 1).alias("digest")))
+    place, cell = F.col("place") + 2, F.col("cell_idx") + 1
+    want = layers.bleed_pixels(sheets).groupBy("job_id", "y").agg(F.count("*").alias("n"), F.sum((F.col("x") + 1) * cell).alias("owners"), F.sum((F.col("x") + 1) * place).alias("digest"))
+    assert key(layers.bleed_lines(sheets)) == key(want)
+    for rows in (layers.covered_lines(sheets, geometry.BORDER), layers.bleed_lines(sheets)):
+        assert "Aggregate" not in rows._jdf.queryExecution().executedPlan().toString()  # no pixel becomes a row
+
+
 def test_many_sheets_are_laid_out_together():
     r = np.random.default_rng(5)
     k = lambda a, z: r.integers(a, z, 40)
