@@ -1,7 +1,7 @@
 """Sheets as PDF files, written band by band: no task holds more of a sheet than one band.
 
-Bands are dealt out by job and sorted within their partitions, then each one is
-deflated as it comes. ``pdf_chunks`` gives the files' bytes as rows, in order;
+Bands are dealt out by job and sorted within their partitions, or come as they were
+rendered, then each one is deflated as it comes. ``pdf_chunks`` gives the files' bytes as rows, in order;
 ``write_pdf`` writes files by a data source of its own, whose commit is one manifest:
 what a failed task or job has left behind is in no manifest, so nobody reads it.
 """
@@ -13,6 +13,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -20,55 +21,60 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_type
 
 from platen.operators import geometry
 from platen.sources.binary import opened
 from platen.sources.sinks import Ref, pdf_value
 
-#: Bytes of a chunk, about.
-CHUNK = 1 << 20
+#: Bytes of a chunk, about; rows of an output batch.
+CHUNK, ROWS = 1 << 20, 4096
+#: What a band carries of its page beside its width.
+SIZE = ("height", "w_pt", "h_pt")
 CATALOG, PAGES, PAGE, DRAWING, IMAGE, LENGTH = range(1, 7)
 
 
+@lru_cache(maxsize=1024)
+def opening(width: int, height: int, w_pt: float, h_pt: float) -> tuple[bytes, dict[int, int]]:
+    """A PDF of one page that an image fills, up to the image's data, and where its objects start: alike for sheets of one size."""
+    drawing = f"{w_pt:.2f} 0 0 {h_pt:.2f} 0 0 cm /Sheet Do".encode()
+    image = {"Type": "XObject", "Subtype": "Image", "Width": width, "Height": height, "ColorSpace": "DeviceRGB", "BitsPerComponent": 8, "Filter": "FlateDecode", "Length": Ref(LENGTH)}
+    page = {"Type": "Page", "Parent": Ref(PAGES), "MediaBox": [0, 0, float(w_pt), float(h_pt)], "Contents": Ref(DRAWING), "Resources": {"XObject": {"Sheet": Ref(IMAGE)}}}
+    head, places = b"%PDF-1.4\n%\xe2\xe3\xcf\xd3\n", {}
+    for number, value, rest in (
+        (CATALOG, {"Type": "Catalog", "Pages": Ref(PAGES)}, b"\nendobj\n"),
+        (PAGES, {"Type": "Pages", "Kids": [Ref(PAGE)], "Count": 1}, b"\nendobj\n"),
+        (PAGE, page, b"\nendobj\n"),
+        (DRAWING, {"Length": len(drawing)}, b"\nstream\n" + drawing + b"\nendstream\nendobj\n"),
+        (IMAGE, image, b"\nstream\n"),
+    ):
+        places[number] = len(head)
+        head += b"%d 0 obj\n%s%s" % (number, pdf_value(value).encode(), rest)
+    return head, places
+
+
 class PdfStream:
     """A PDF of one page that an image fills, as bytes in order; the image comes line by line and its length is told after it."""
 
     def __init__(self, width: int, height: int, w_pt: float, h_pt: float):
-        self.size, self.places, self.code = 0, {}, zlib.compressobj(6)
-        drawing = f"{w_pt:.2f} 0 0 {h_pt:.2f} 0 0 cm /Sheet Do".encode()
-        image = {"Type": "XObject", "Subtype": "Image", "Width": width, "Height": height, "ColorSpace": "DeviceRGB", "BitsPerComponent": 8, "Filter": "FlateDecode", "Length": Ref(LENGTH)}
-        page = {"Type": "Page", "Parent": Ref(PAGES), "MediaBox": [0, 0, float(w_pt), float(h_pt)], "Contents": Ref(DRAWING), "Resources": {"XObject": {"Sheet": Ref(IMAGE)}}}
-        self.head = b"".join(
-            [
-                self._told(b"%PDF-1.4\n%\xe2\xe3\xcf\xd3\n"),
-                self._object(CATALOG, {"Type": "Catalog", "Pages": Ref(PAGES)}),
-                self._object(PAGES, {"Type": "Pages", "Kids": [Ref(PAGE)], "Count": 1}),
-                self._object(PAGE, page),
-                self._object(DRAWING, {"Length": len(drawing)}, drawing),
-                self._told(self._opening(IMAGE, image) + b"\nstream\n"),
-            ]
-        )
+        self.code = zlib.compressobj(6)
+        self.head, places = opening(width, height, w_pt, h_pt)
+        self.places, self.size = dict(places), len(self.head)
         self.before = self.size
 
     def _told(self, data: bytes) -> bytes:
         self.size += len(data)
         return data
 
-    def _opening(self, number: int, value: object) -> bytes:
-        self.places[number] = self.size
-        return b"%d 0 obj\n%s" % (number, pdf_value(value).encode())
-
-    def _object(self, number: int, value: object, stream: bytes | None = None) -> bytes:
-        body = b"" if stream is None else b"\nstream\n" + stream + b"\nendstream"
-        return self._told(self._opening(number, value) + body + b"\nendobj\n")
-
     def add(self, rgb: bytes) -> bytes:
         return self._told(self.code.compress(rgb))
 
     def end(self) -> bytes:
         last = self._told(self.code.flush())
         n = self.size - self.before
-        closing = self._told(b"\nendstream\nendobj\n") + self._object(LENGTH, n)
+        closing = self._told(b"\nendstream\nendobj\n")
+        self.places[LENGTH] = self.size
+        closing += self._told(b"%d 0 obj\n%d\nendobj\n" % (LENGTH, n))
         table = ["0000000000 65535 f ", *(f"{self.places[k]:010d} 00000 n " for k in sorted(self.places))]
         tail = ["xref", f"0 {len(table)}", *table, "trailer", pdf_value({"Size": len(table), "Root": Ref(CATALOG)}), "startxref", str(self.size), "%%EOF", ""]
         return last + closing + "\n".join(tail).encode()
@@ -76,8 +82,7 @@ class PdfStream:
 
 def in_order(bands: DataFrame, jobs: DataFrame) -> DataFrame:
     """Bands with their sheet's size in pixels and points, dealt out by job and sorted by band."""
-    page = geometry.page_size(jobs).select("job_id", F.col("page_h").alias("height"), geometry.pdf_points(F.col("page_w"), F.col("dpi")).alias("w_pt"), geometry.pdf_points(F.col("page_h"), F.col("dpi")).alias("h_pt"))
-    joined = bands.join(page, "job_id").select("job_id", "band", "width", "height", "w_pt", "h_pt", "data")
+    joined = bands.join(with_size(jobs).select("job_id", *SIZE), "job_id").select("job_id", "band", "width", *SIZE, "data")
     return joined.repartition("job_id").sortWithinPartitions("job_id", "band")
 
 
@@ -97,36 +102,64 @@ def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bytes, b
         yield job, pdf.end(), True
 
 
-def pdf_chunks(bands: DataFrame, jobs: DataFrame) -> DataFrame:
-    """(job_id, part, bytes): each sheet's PDF in parts of about CHUNK bytes, from 0 on. Jobs without bands have none."""
+def _gathered(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of up to ROWS of them or CHUNK bytes (of their last value)."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if len(held) >= ROWS or size >= CHUNK:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def with_size(jobs: DataFrame) -> DataFrame:
+    """Jobs with their page's size in pixels and points, as SIZE names it: for bands that carry it."""
+    sized = geometry.page_size(jobs)
+    points = {c: geometry.pdf_points(F.col(p), F.col("dpi")) for c, p in (("w_pt", "page_w"), ("h_pt", "page_h"))}
+    return sized.withColumns({"height": F.col("page_h")} | points)
+
+
+def pdf_chunks(bands: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """(job_id, part, bytes): each sheet's PDF in parts of about CHUNK bytes, from 0 on. Jobs without bands have none.
+
+    Without jobs the bands carry SIZE and come as they were rendered, those of a sheet
+    one after another: files are written in the tasks that render them, nothing is dealt
+    out.
+    """
     kind = dict(bands.dtypes)["job_id"]
+    schema = pa.schema([("job_id", to_arrow_type(bands.schema["job_id"].dataType)), ("part", pa.int64()), ("bytes", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         part, held, size = 0, [], 0
         for job, data, ends in _files(batches):
             held.append(data)
             size += len(data)
             if ends or size >= CHUNK:
-                yield pa.RecordBatch.from_pylist([{"job_id": job, "part": part, "bytes": b"".join(held)}])
+                yield job, part, b"".join(held)
                 part, held, size = (0 if ends else part + 1), [], 0
 
-    return in_order(bands, jobs).mapInArrow(run, f"job_id {kind}, part long, bytes binary")
+    ordered = bands.select("job_id", "band", "width", *SIZE, "data") if jobs is None else in_order(bands, jobs)
+    return ordered.mapInArrow(lambda batches: _gathered(parts(batches), schema), f"job_id {kind}, part long, bytes binary")
 
 
-def pdf_images(chunks: DataFrame) -> DataFrame:
-    """(job_id, part, bytes) -> (job_id, width, height, n_bytes, image_sha256): the files read back part by part, the image's pixels as inflated."""
+def pdf_images(chunks: DataFrame, ordered: bool = False) -> DataFrame:
+    """(job_id, part, bytes) -> (job_id, width, height, n_bytes, image_sha256): the files read back part by part, the image's pixels as inflated. ordered: the parts come as ``pdf_chunks`` gives them."""
     import hashlib
     import re
 
     kind = dict(chunks.dtypes)["job_id"]
+    schema = pa.schema([("job_id", to_arrow_type(chunks.schema["job_id"].dataType)), *((c, pa.int64()) for c in ("width", "height", "n_bytes")), ("image_sha256", pa.string())])
     start = re.compile(rb"/Subtype /Image /Width (\d+) /Height (\d+) .*?\nstream\n", re.S)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def images(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         job = reader = None
 
-        def row() -> pa.RecordBatch:
+        def row() -> tuple:
             width, height, _, digest, n = reader
-            return pa.RecordBatch.from_pylist([{"job_id": job, "width": width, "height": height, "n_bytes": n, "image_sha256": digest.hexdigest()}])
+            return job, width, height, n, digest.hexdigest()
 
         for batch in batches:
             for own, part, data in zip(*(batch.column(c).to_pylist() for c in ("job_id", "part", "bytes")), strict=True):
@@ -143,7 +176,8 @@ def pdf_images(chunks: DataFrame) -> DataFrame:
         if reader is not None:
             yield row()
 
-    return chunks.repartition("job_id").sortWithinPartitions("job_id", "part").mapInArrow(run, f"job_id {kind}, width long, height long, n_bytes long, image_sha256 string")
+    parts = chunks if ordered else chunks.repartition("job_id").sortWithinPartitions("job_id", "part")
+    return parts.mapInArrow(lambda batches: _gathered(images(batches), schema), f"job_id {kind}, width long, height long, n_bytes long, image_sha256 string")
 
 
 @dataclass

@@ -224,6 +224,20 @@ def test_pdf_band_by_band(spark, frames, tmp_path, monkeypatch, chunk):
     assert {r.file: bytes(r.content) for r in sheet_files.read_pdf(spark, str(tmp_path / "out")).collect()} == {f"{k}.pdf": v for k, v in chunks.items()}
 
 
+@pytest.mark.parametrize("chunk", [100, 1 << 20])
+def test_pdf_where_sheets_are_rendered(spark, frames, monkeypatch, chunk):
+    monkeypatch.setattr(sheet_files, "CHUNK", chunk)
+    made = spark.createDataFrame(random_jobs(12, 6), JOB)
+    out = bands.render_jobs(frames, sheet_files.with_size(made), lines=8, beside=sheet_files.SIZE)
+    straight = sheet_files.pdf_chunks(out)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(straight) == key(sheet_files.pdf_chunks(bands.render_jobs(frames, made, lines=8), made))
+    read = sheet_files.pdf_images(straight, ordered=True)
+    assert key(read) == key(sheet_files.pdf_images(straight)) and read.count() == 12
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (read, out)]
+    assert "Repartition" not in plans[0] and plans[0].count("Join") == plans[1].count("Join")  # neither bands nor files are dealt out again
+
+
 def test_pdf_writer_leaves_nothing_of_a_failed_job(tmp_path):
     writer = sheet_files.SheetWriter(str(tmp_path))
     batch = pa.RecordBatch.from_pylist([{"job_id": k, "width": 1, "height": 2, "w_pt": 1.0, "h_pt": 2.0, "data": b"abc"} for k in (1, 1, 2, 2)])
