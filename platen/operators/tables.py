@@ -1,52 +1,53 @@
 """Table functions for SQL users: cells of a sheet and rectangles of a cell, as rows in a LATERAL join.
 
-They mirror ``geometry.cell_grid``, ``border_rects`` and ``crop_mark_rects``, whose
-generators stay inside the JVM and are the way to go for large job tables.
+They mirror ``geometry.cell_grid``, ``border_rects`` and ``crop_mark_rects``, and like
+these they are expressions and generators: SQL functions, which Spark writes into the
+query that calls them, so that their rows are made in the scan's own stage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 from platen.operators import geometry
 
-Rect = tuple[int, int, int, int, int, int]
+CELLS = ("cols", "rows", "gap", "start_x", "start_y", "cell_w", "cell_h")
+RECTS = ("x", "y", "w", "h", "border_px", "crop_mark_px", "crop_thickness", "crop_offset_px")
 
 
-class Cells:
-    """cells(cols, rows, gap, start_x, start_y, cell_w, cell_h): row-major; none where a value is null."""
+def _parameters(names: tuple[str, ...]) -> str:
+    return ", ".join(f"{n} BIGINT" for n in names)
 
-    def eval(self, cols: int, rows: int, gap: int, start_x: int, start_y: int, cell_w: int, cell_h: int) -> Iterator[tuple]:
-        if None in (cols, rows, gap, start_x, start_y, cell_w, cell_h):
-            return
-        for k in range(max(cols, 0) * max(rows, 0)):
-            row, col = divmod(k, cols)
-            yield k, row, col, start_x + col * (cell_w + gap), start_y + row * (cell_h + gap), cell_w, cell_h
 
+def _given(names: tuple[str, ...]) -> str:
+    return " AND ".join(f"{n} IS NOT NULL" for n in names)
 
-class Rects:
-    """rects(x, y, w, h, border_px, crop_mark_px, crop_thickness, crop_offset_px): the border's and the crop marks' rectangles of one cell."""
 
-    def eval(self, x: int, y: int, w: int, h: int, border: int, length: int, thickness: int, offset: int) -> Iterator[Rect]:
-        if None in (x, y, w, h, border, length, thickness, offset):
-            return
-        if border > 0:
-            for part, box in enumerate(((x, y, w, border), (x, y + h - border, w, border), (x, y, border, h), (x + w - border, y, border, h))):
-                yield geometry.BORDER, part, *box
-        if length > 0:
-            thick = thickness or 1
-            for corner in range(4):
-                right, low = corner % 2, corner // 2
-                # Outwards from the corner: where a mark of this size starts.
-                at = lambda start, size, far, mark: start + size + offset if far else start - offset - mark
-                yield geometry.MARK, 2 * corner, at(x, w, right, length), at(y, h, low, thick), length, thick
-                yield geometry.MARK, 2 * corner + 1, at(x, w, right, thick), at(y, h, low, length), thick, length
+def _cells() -> str:
+    """cells(cols, rows, gap, start_x, start_y, cell_w, cell_h): row-major; none where a value is null."""
+    return f"""FUNCTION cells({_parameters(CELLS)}) RETURNS TABLE (cell_idx BIGINT, row BIGINT, col BIGINT, x BIGINT, y BIGINT, w BIGINT, h BIGINT)
+RETURN SELECT k, k div cols, k % cols, start_x + k % cols * (cell_w + gap), start_y + k div cols * (cell_h + gap), cell_w, cell_h
+FROM explode(CASE WHEN {_given(CELLS)} AND cols > 0 AND rows > 0 THEN sequence(0L, cols * rows - 1) END) AS c(k)"""
+
+
+def _rects() -> str:
+    """rects(x, y, w, h, border_px, crop_mark_px, crop_thickness, crop_offset_px): the border's and the crop marks' rectangles of one cell."""
+    b, length, thick, off = "border_px", "crop_mark_px", "if(crop_thickness = 0, 1L, crop_thickness)", "crop_offset_px"
+    border = [("x", "y", "w", b), ("x", f"y + h - {b}", "w", b), ("x", "y", b, "h"), (f"x + w - {b}", "y", b, "h")]
+    marks = []
+    for corner in range(4):
+        right, low = corner % 2, corner // 2
+        # Outwards from the corner: where a mark of this size starts.
+        at = lambda start, size, far, mark: f"{start} + {size} + {off}" if far else f"{start} - {off} - {mark}"
+        marks += [(at("x", "w", right, mw), at("y", "h", low, mh), mw, mh) for mw, mh in ((length, thick), (thick, length))]
+    made = {layer: [f"named_struct('layer', {layer}, 'part', {k}, 'x', {x}, 'y', {y}, 'w', {w}, 'h', {h})" for k, (x, y, w, h) in enumerate(boxes)] for layer, boxes in ((geometry.BORDER, border), (geometry.MARK, marks))}
+    array = lambda *layers: f"array({', '.join(r for k in layers for r in made[k])})"
+    chosen = f"WHEN {b} > 0 AND {length} > 0 THEN {array(geometry.BORDER, geometry.MARK)} WHEN {b} > 0 THEN {array(geometry.BORDER)} WHEN {length} > 0 THEN {array(geometry.MARK)}"
+    return f"""FUNCTION rects({_parameters(RECTS)}) RETURNS TABLE (layer INT, part INT, x BIGINT, y BIGINT, w BIGINT, h BIGINT)
+RETURN SELECT r.* FROM inline(CASE WHEN NOT ({_given(RECTS)}) THEN NULL {chosen} END) AS r(layer, part, rx, ry, rw, rh)"""
 
 
 def register_tables(spark: SparkSession) -> None:
-    """Makes ``cells`` and ``rects`` known to the session's SQL; batches go by Arrow."""
-    spark.udtf.register("cells", udtf(Cells, returnType="cell_idx long, row long, col long, x long, y long, w long, h long", useArrow=True))
-    spark.udtf.register("rects", udtf(Rects, returnType="layer int, part int, x long, y long, w long, h long", useArrow=True))
+    """Makes ``cells`` and ``rects`` known to the session's SQL."""
+    for function in (_cells(), _rects()):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY {function}")

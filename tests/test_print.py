@@ -187,6 +187,18 @@ def test_table_functions(spark, golden):
     assert spark.sql("SELECT c.* FROM {s} s, LATERAL cells(s.cols, s.rows, s.gap, s.start_x, s.start_y, s.cell_w, s.cell_h) c", s=nothing).count() == 0
 
 
+def test_table_functions_are_made_in_the_query(spark, golden):
+    """No Python, no join; nulls and empty grids have no rows."""
+    tables.register_tables(spark)
+    for call, names in (("cells", tables.CELLS), ("rects", tables.RECTS)):
+        rows = spark.createDataFrame([(k, *(None if k == i else 0 if (k, i) == (9, 0) else 3 for i in range(len(names)))) for k in range(11)], "k long, " + ", ".join(f"{n} long" for n in names))
+        made = spark.sql(f"SELECT s.k, c.* FROM {{s}} s, LATERAL {call}({', '.join('s.' + n for n in names)}) c", s=rows)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" in plan and not any(w in plan for w in ("Python", "UDTF", "Arrow", "Join"))
+        kept = {r.k for r in made.collect()}
+        assert kept == (set(range(len(names), 11)) - ({9} if call == "cells" else set()))
+
+
 def test_templates(spark):
     catalog = jobs.templates(spark)
     named = jobs.lookup_template(spark.createDataFrame([("passport-45x35",), ("passport-38x35-printready",), ("none",)], "preset string"), catalog, "preset")
