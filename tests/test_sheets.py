@@ -273,3 +273,11 @@ def test_frames_as_bytes_equal_pixels_as_rows(spark, frames, name):
     rows, whole = forms[name]()
     key = lambda df: sorted(map(tuple, df.select("frame_id", "y", "x", "c", "v").collect()))
     assert key(rows) == key(pixels.frames_to_pixels(whole))
+
+
+def test_resize_line_by_line(spark, frames):
+    sizes = frames.select("frame_id", "width", "height", (F.col("frame_id") * 5 + 1).cast("int").alias("new_w"), F.expr("greatest(1, height div 2)").alias("new_h"))
+    key = lambda df: sorted(map(tuple, df.select("frame_id", "y", "x", "c", "v").collect()))
+    found = pixels.resize_lines(frames, sizes)
+    assert key(found) == key(pixels.resize_bilinear(pixels.frames_to_pixels(frames), sizes))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # frames meet their sizes; no pixel is joined
