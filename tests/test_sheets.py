@@ -281,3 +281,15 @@ def test_resize_line_by_line(spark, frames):
     found = pixels.resize_lines(frames, sizes)
     assert key(found) == key(pixels.resize_bilinear(pixels.frames_to_pixels(frames), sizes))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # frames meet their sizes; no pixel is joined
+
+
+def test_small_tiles_are_made_together(spark, frames, monkeypatch):
+    keys = [(k, w, h, mode, -1 if mode else 0x0AC8FF) for k in range(6) for w, h in ((17, 13), (3, 40), (1, 1)) for mode in (0, 1)]
+    table = spark.createDataFrame(keys, "frame_id long, cell_w long, cell_h long, mode int, bg long")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    together = key(bands.make_tiles(frames, table))
+    monkeypatch.setattr(bands, "SMALL", 0)  # one by one
+    alone = key(bands.make_tiles(frames, table))
+    monkeypatch.setattr(bands, "SMALL", 130)
+    monkeypatch.setattr(bands, "TOGETHER", 200)
+    assert together == alone == key(bands.make_tiles(frames, table)) and len(alone) == len(keys)
