@@ -293,3 +293,16 @@ def test_small_tiles_are_made_together(spark, frames, monkeypatch):
     monkeypatch.setattr(bands, "SMALL", 130)
     monkeypatch.setattr(bands, "TOGETHER", 200)
     assert together == alone == key(bands.make_tiles(frames, table)) and len(alone) == len(keys)
+
+
+def test_sums_of_lines_go_by_parts(spark, frames, monkeypatch):
+    whole = sorted(map(tuple, pixels.line_digests(frames.coalesce(1)).collect()))
+    monkeypatch.setattr(pixels, "ROWS", 8)
+    parts = pixels.line_digests(frames.coalesce(1))
+    assert sorted(map(tuple, parts.collect())) == whole and len(whole) == sum(r.height for r in frames.collect())
+    run = {}
+    stub = type("Frames", (), {"where": lambda self, _: self, "select": lambda self, *_: self, "mapInArrow": lambda self, f, _: run.update(f=f)})()
+    pixels.line_digests(stub)
+    rows = [{"frame_id": r.frame_id, "width": r.width, "height": r.height, "stride": r.stride, "data": bytes(r.data)} for r in frames.collect()]
+    found = list(run["f"](iter([pa.RecordBatch.from_pylist(rows)])))
+    assert len(found) > 2 and sum(b.num_rows for b in found) == len(whole)
