@@ -295,6 +295,46 @@ def test_small_tiles_are_made_together(spark, frames, monkeypatch):
     assert together == alone == key(bands.make_tiles(frames, table)) and len(alone) == len(keys)
 
 
+def test_a_frame_is_moved_once_for_many_tiles(spark, frames, monkeypatch):
+    keys = [(k, w, h, mode, -1 if mode else 4099 * w) for k in range(6) for w in range(1, 9) for h in (2, 13) for mode in (0, 1)] + [(3, w, 1, 0, 5) for w in range(9, 99)] + [(None, 3, 3, 1, -1), (99, 3, 3, 1, -1)]
+    table = spark.createDataFrame(keys, "frame_id long, cell_w long, cell_h long, mode int, bg long")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    lists = bands.framed_tiles(frames, table).select("frame_id", "tiles", "data").collect()
+    assert len(lists) == 6 and sum(len(r.tiles) for r in lists) == len(keys) - 2
+    whole = key(bands.make_tiles(frames, table))
+    monkeypatch.setattr(bands, "MANY", 40)  # frame 3 has over 40 tiles and is dealt out
+    dealt = bands.framed_tiles(frames, table).select("frame_id", "tiles").collect()
+    assert sum(r.frame_id == 3 for r in dealt) > 1 and max(len(r.tiles) for r in dealt) < 80 and len({r.frame_id for r in dealt}) == 6
+    monkeypatch.setattr(bands, "MOST", 7)
+    assert key(bands.make_tiles(frames, table)) == whole and len(whole) == len(keys) - 2
+    own = bands.make_tiles(frames, table, digests=True)
+    assert key(own) == sorted((*r[:-1], hashlib.sha256(bytes(r[-1])).hexdigest()) for r in whole)
+
+
+def test_windows_are_those_of_the_relational_form(spark, frames):
+    keys = [(k, w, h, mode, -1) for k in range(6) for w, h in ((17, 13), (3, 40), (1, 1), (90, 7)) for mode in (0, 1)]
+    rows = bands.tile_windows(frames, spark.createDataFrame(keys, "frame_id long, cell_w long, cell_h long, mode int, bg long")).collect()
+    found = bands.windows({c: np.array([r[c] for r in rows]) for c in ("src_w", "src_h", "cell_w", "cell_h", "mode")})
+    for c in ("scaled_w", "scaled_h", "off_x", "off_y"):
+        assert found[c].tolist() == [r[c] for r in rows], c
+    assert found["last"].tolist() == [r["first"] + r["n_lines"] - 1 for r in rows] and len(rows) == len(keys)
+
+
+def test_a_short_frame_is_an_error(spark):
+    short = spark.createDataFrame([(1, 2, 9, 3, 6, bytearray(50))], pixels.FRAMES)
+    for size in (4, 99):
+        with pytest.raises(Exception, match="fewer bytes"):
+            bands.make_tiles(short, spark.createDataFrame([(1, size, size, 0, 0)], "frame_id long, cell_w long, cell_h long, mode int, bg long")).collect()
+
+
+def test_texts_are_read_once_for_the_ids_of_frames(spark, sf_dir):
+    framed = fixture(spark, sf_dir, "framed_jobs")
+    framed.collect()
+    plan = framed._jdf.queryExecution().executedPlan()
+    final = plan.toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan.toString() and final.count("FileScan parquet [doc_id") <= 1
+
+
 def test_sums_of_lines_go_by_parts(spark, frames, monkeypatch):
     whole = sorted(map(tuple, pixels.line_digests(frames.coalesce(1)).collect()))
     monkeypatch.setattr(pixels, "ROWS", 8)
